@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.llm import canonical, mixing, neardup, packing, tokens
+from prosemill.llm import canonical, mixing, neardup, packing, pairs, tokens, truncation
 from prosemill.session import durable, table
 
 NEAR, LEAST_WORDS = 0.7, 25
@@ -53,29 +53,55 @@ def p1_token_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p1_shares(spark, d, "tokens")
 
 
-def _p2_field(spark: SparkSession, d: str, field: str) -> tuple[DataFrame, DataFrame]:
-    pairs = table(spark, d, "prompt_pairs").select("pair_id", field)
-    return neardup.near_duplicates(pairs, "pair_id", field, NEAR, LEAST_WORDS)
+P2_FIELDS = ["output_prompt", "input_prompt"]
+
+
+def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    fields = F.array(*[F.struct(F.lit(i).alias("part"), F.col(f).alias("prompt")) for i, f in enumerate(P2_FIELDS)])
+    prompts = table(spark, d, "prompt_pairs").select("pair_id", F.explode(fields).alias("x")).select("pair_id", "x.part", "x.prompt")
+    return neardup.near_duplicates(prompts, "part", "pair_id", "prompt", NEAR, LEAST_WORDS)
+
+
+def _field_name() -> Column:
+    return F.element_at(F.array(*map(F.lit, P2_FIELDS)), F.col("part") + 1).alias("field_name")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records whose prompts share at least 0.7 of their distinct words."""
-    out = []
-    for field in ("output_prompt", "input_prompt"):
-        members, links = _p2_field(spark, d, field)
-        out.append(neardup.expand_pairs(members, links).select(F.lit(field).alias("field_name"), "key_a", "key_b"))
-    return out[0].unionByName(out[1])
+    members, links = _p2(spark, d)
+    return neardup.expand_pairs(members, links).select(_field_name(), "key_a", "key_b")
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """Per record its class of equal word sets and the number of other classes near it."""
-    out = []
-    for field in ("output_prompt", "input_prompt"):
-        members, links = _p2_field(spark, d, field)
-        ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-        rows = members.join(ends, "class_id", "left").select(F.lit(field).alias("field_name"), F.col("key").alias("pair_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-        out.append(rows)
-    return out[0].unionByName(out[1])
+    members, links = _p2(spark, d)
+    ends = links.select("part", F.explode(F.array("a", "b")).alias("class_id")).groupBy("part", "class_id").agg(F.count("*").alias("links"))
+    rows = members.join(ends, ["part", "class_id"], "left")
+    return rows.select(_field_name(), F.col("key").alias("pair_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _copied(answer: str, question: str) -> Column:
+    """Whether nearly all words of the answer are the question's."""
+    a, q = neardup.distinct_words(F.col(answer)), neardup.distinct_words(F.col(question))
+    return F.coalesce(F.size(F.array_intersect(a, q)) >= 0.85 * F.size(a), F.lit(False))
+
+
+def _p3_essays(spark: SparkSession, d: str) -> DataFrame:
+    essays = table(spark, d, "prompt_pairs").select("pair_id", "topic", "topic_source", "best_essay", _copied("best_essay", "output_prompt").alias("copied"))
+    closed = durable(truncation.closings(essays, "pair_id", "best_essay", "topic", ["topic_source", "copied"]))
+    verdict = truncation.judge(closed, "pair_id")
+    return closed.select("pair_id", "topic_source", "copied").join(verdict, "pair_id").withColumn("unfinished", F.col("unfinished") & ~F.col("copied"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Essays whose last sentence is unfinished."""
+    return _p3_essays(spark, d).filter("unfinished").select("pair_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Essays, unfinished essays and their share per topic source."""
+    got = _p3_essays(spark, d).groupBy("topic_source").agg(F.count("*").alias("essays"), F.count_if("unfinished").alias("unfinished"))
+    return got.withColumn("rate", F.round(F.col("unfinished") / F.col("essays"), 6))
 
 
 def p4_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +121,32 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return p4_texts(spark, d).dropDuplicates(["field_name", "key"]).select("field_name", "key", canonical.canonical_text(F.col("text")).alias("text"))
 
 
+def _p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(pair_id, field_name, question, answer, broken), one row per answer."""
+    t = table(spark, d, "prompt_pairs").select("pair_id", "topic", "input_prompt", "output_prompt", "best_essay")
+    both = F.array(
+        F.struct(F.lit("output_prompt").alias("field_name"), F.col("input_prompt").alias("question"), F.col("output_prompt").alias("answer")),
+        F.struct(F.lit("best_essay").alias("field_name"), F.col("output_prompt").alias("question"), F.col("best_essay").alias("answer")),
+    )
+    t = t.select("pair_id", "topic", F.explode(both).alias("x")).select(
+        F.struct("pair_id", "x.field_name").alias("k"), "topic", canonical.screen_key_text(F.col("x.question")).alias("question"), F.col("x.answer").alias("answer")
+    )
+    closed = durable(truncation.closings(t, "k", "answer", "topic", ["question"]))
+    verdict = truncation.judge(closed, "k", copies=False).select("k", F.col("unfinished").alias("broken"))
+    j = closed.join(verdict, "k")
+    return durable(j.select("k.pair_id", "k.field_name", "question", F.col("text").alias("answer"), "broken"))
+
+
+def p5_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Every answer with its defect, if any, and the share of it that each tag covers."""
+    return pairs.pair_defects(_p5_pairs(spark, d), "pair_id", "field_name", "question", "answer", "broken")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective answers with their defect."""
+    return p5_tags(spark, d).filter("defect IS NOT NULL").select("pair_id", "field_name", "defect")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document as its list of byte_bpe_50k ids."""
     return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
@@ -117,7 +169,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_mix, p1_shares, p1_token_shares, p2_found, p2_classes, p4_found, p4_canonical, p6_ids, p7_packed, p7_report]
+    named = [p1_mix, p1_shares, p1_token_shares, p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_tags, p6_ids, p7_packed, p7_report]
     return {f.__name__: f for f in named}
 
 
