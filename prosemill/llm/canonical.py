@@ -146,8 +146,7 @@ class Batch:
     """The code points of a batch of texts, with the row of each."""
 
     def __init__(self, texts: pa.Array) -> None:
-        if pa.types.is_large_string(texts.type) or texts.offset:
-            texts = pa.concat_arrays([texts.cast(pa.string()), pa.array([], pa.string())])
+        texts = texts if pa.types.is_string(texts.type) else texts.cast(pa.string())
         self.n = len(texts)
         self.valid = np.ones(self.n, dtype=bool) if not texts.null_count else texts.is_valid().to_numpy(zero_copy_only=False)
         _, offsets, data = texts.buffers()

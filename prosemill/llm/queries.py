@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.llm import canonical, mixing, neardup, packing, pairs, tokens, truncation
+from prosemill.llm import abuse, canonical, mixing, neardup, packing, pairs, tokens, truncation
 from prosemill.session import durable, table
 
 NEAR, LEAST_WORDS = 0.7, 25
@@ -168,8 +168,28 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(_p7_pack(spark, d))
 
 
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"), "doc_id", "text", "toxic", ["source"])
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and verdict of every document."""
+    return _p8(spark, d)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit sentence."""
+    return _p8(spark, d).filter("flagged").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, flagged documents and their share per source."""
+    got = _p8(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.count_if("flagged").alias("flagged"))
+    return got.withColumn("rate", F.round(F.col("flagged") / F.col("documents"), 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_mix, p1_shares, p1_token_shares, p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_tags, p6_ids, p7_packed, p7_report]
+    named = [p1_mix, p1_shares, p1_token_shares, p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_tags, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates]
     return {f.__name__: f for f in named}
 
 
