@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -305,8 +306,20 @@ def _spaces(b: Batch) -> None:
     b.keep((at >= lo[rows]) & (at <= hi[rows]))
 
 
+# Texts without any of these are in canonical form already.
+UNTIDY = r"[^\x20-\x7e\n]|  | \n|\n |^[ \n]|[ \n]$"
+
+
 def canonicalize(texts: pa.Array, everywhere: bool) -> pa.Array:
     """Canonical form of a batch; everywhere: look-alike letters in every word."""
+    texts = texts if pa.types.is_string(texts.type) else texts.cast(pa.string())
+    untidy = pc.fill_null(pc.match_substring_regex(texts, UNTIDY), False)
+    if pc.sum(untidy).as_py():
+        return pc.replace_with_mask(texts, untidy, _canonicalize(texts.filter(untidy), everywhere))
+    return texts
+
+
+def _canonicalize(texts: pa.Array, everywhere: bool) -> pa.Array:
     t, b = tables(), Batch(texts)
     if len(b.cps) and int(b.cps.max()) > 0x7E or len(b.cps) and int(b.cps.min()) < 0x20:
         _expand(b, t)
