@@ -123,15 +123,15 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 def _p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(pair_id, field_name, question, answer, broken), one row per answer."""
-    t = table(spark, d, "prompt_pairs").select("pair_id", "topic", "input_prompt", "output_prompt", "best_essay")
+    t = table(spark, d, "prompt_pairs").select("pair_id", "topic", "input_prompt", "output_prompt", "best_essay").dropDuplicates(["pair_id"])
+    for c in ("input_prompt", "output_prompt", "best_essay"):
+        t = t.withColumn(c, canonical.screen_key_text(F.col(c)))
     both = F.array(
         F.struct(F.lit("output_prompt").alias("field_name"), F.col("input_prompt").alias("question"), F.col("output_prompt").alias("answer")),
         F.struct(F.lit("best_essay").alias("field_name"), F.col("output_prompt").alias("question"), F.col("best_essay").alias("answer")),
     )
-    t = t.select("pair_id", "topic", F.explode(both).alias("x")).select(
-        F.struct("pair_id", "x.field_name").alias("k"), "topic", canonical.screen_key_text(F.col("x.question")).alias("question"), F.col("x.answer").alias("answer")
-    )
-    closed = durable(truncation.closings(t, "k", "answer", "topic", ["question"]))
+    t = t.select("pair_id", "topic", F.explode(both).alias("x")).select(F.struct("pair_id", "x.field_name").alias("k"), "topic", "x.question", F.col("x.answer").alias("text"))
+    closed = durable(truncation.closings_of(t, "text", "topic"))
     verdict = truncation.judge(closed, "k", copies=False).select("k", F.col("unfinished").alias("broken"))
     j = closed.join(verdict, "k")
     return durable(j.select("k.pair_id", "k.field_name", "question", F.col("text").alias("answer"), "broken"))
