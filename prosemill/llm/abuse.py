@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.canonical import Batch, canonicalize
+from prosemill.llm.canonical import Batch, canonicalize, slices
 
 DIM, FACTORS = 1 << 17, 6
 MAX_LABELLED, MAX_SENTENCES = 8000, 24000
@@ -354,6 +354,27 @@ def select(s: Sentences, keep: np.ndarray) -> Sentences:
     return out
 
 
+def _sentences(texts: list[str], labels: np.ndarray) -> tuple[Sentences, np.ndarray]:
+    """(sentences of all texts, whether a sentence holds a listed word), read slice by slice."""
+    array = pa.array(texts, pa.string())
+    parts, listed = [], []
+    numbers = [int(h % np.uint64(DIM)) for h in CLASS_HASH[:4]]
+    docs = sentences = 0
+    for lo, hi in slices(array):
+        s = Sentences(array.slice(lo, hi - lo))
+        mark = np.zeros(len(s), dtype=bool)
+        mark[s.of[np.isin(s.terms, numbers)]] = True
+        listed.append(mark)
+        parts.append((s.doc + lo, s.terms[: s.words], s.of[: s.words] + sentences, s.terms[s.words :], s.of[s.words :] + sentences, s.pairs, s.pairs_of + sentences))
+        sentences += len(s)
+        docs = hi
+    whole = Sentences.__new__(Sentences)
+    doc, words, of, more, more_of, pairs, pairs_of = (np.concatenate(x) for x in zip(*parts))
+    whole.docs, whole.doc, whole.words = docs, doc, len(words)
+    whole.terms, whole.of, whole.pairs, whole.pairs_of = np.concatenate([words, more]), np.concatenate([of, more_of]), pairs, pairs_of
+    return whole, np.concatenate(listed)
+
+
 def _fit(s: Sentences, y: np.ndarray, use: np.ndarray, written: np.ndarray, share: np.ndarray) -> FactorizationMachine:
     pos, neg = max(1.0, (y * share)[use].sum()), max(1.0, share[use & (y == 0)].sum())
     weight = np.where(y == 1, min(30.0, max(1.0, 0.1 * neg / pos)), 1.0) * share * np.where(written, 2.0, 1.0)
@@ -386,14 +407,12 @@ def train(texts: list[str], toxic: list[int], rounds: int = 3) -> FactorizationM
     """
     written = [*HARMFUL, *HARMLESS]
     labels = np.array([*toxic, *[1] * len(HARMFUL), *[0] * len(HARMLESS)])
-    s = Sentences(pa.array([*texts, *written], pa.string()))
+    s, listed = _sentences([*texts, *written], labels)
     y_doc, sure = labels[s.doc], s.doc >= len(texts)
-    listed = np.zeros(len(s), dtype=bool)  # all negatives with a listed word, and as many others as the bound allows
-    listed[s.of[np.isin(s.terms, [int(h % np.uint64(DIM)) for h in CLASS_HASH[:4]])]] = True
     plain = np.random.default_rng(7).permutation(np.flatnonzero((y_doc == 0) & ~sure & ~listed))
     pick = (y_doc == 1) | sure | listed
     pick[plain[:MAX_SENTENCES]] = True
-    stands_for = np.where(pick & (y_doc == 0) & ~sure & ~listed, max(1.0, len(plain) / MAX_SENTENCES), 1.0)[pick]
+    stands_for = np.where((y_doc == 0) & ~sure & ~listed, max(1.0, len(plain) / MAX_SENTENCES), 1.0)[pick]
     s = select(s, pick)
     y_doc, sure = labels[s.doc], s.doc >= len(texts)
     half = (s.doc * 7919 // 13) % 2
@@ -428,13 +447,14 @@ def train(texts: list[str], toxic: list[int], rounds: int = 3) -> FactorizationM
 
 def score_texts(machine: FactorizationMachine, texts: pa.Array) -> np.ndarray:
     """The worst sentence's probability of each text."""
-    s = Sentences(texts)
     out = np.zeros(len(texts))
-    if len(s):
-        p = machine.probabilities(s)
-        p[np.bincount(s.of, minlength=len(s)) == 0] = 0
-        starts = np.flatnonzero(np.concatenate([[True], s.doc[1:] != s.doc[:-1]]))
-        out[s.doc[starts]] = np.maximum.reduceat(p, starts)
+    for lo, hi in slices(texts):
+        s = Sentences(texts.slice(lo, hi - lo))
+        if len(s):
+            p = machine.probabilities(s)
+            p[np.bincount(s.of, minlength=len(s)) == 0] = 0
+            starts = np.flatnonzero(np.concatenate([[True], s.doc[1:] != s.doc[:-1]]))
+            out[lo + s.doc[starts]] = np.maximum.reduceat(p, starts)
     return out
 
 

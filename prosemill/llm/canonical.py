@@ -306,6 +306,18 @@ def _spaces(b: Batch) -> None:
     b.keep((at >= lo[rows]) & (at <= hi[rows]))
 
 
+def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> list[tuple[int, int]]:
+    """Row ranges of at most most_bytes of text (or one row), so that array work needs bounded memory."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, lo = [], 0
+    while lo < len(texts):
+        before = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, before + most_bytes, side="right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 # Texts without any of these are in canonical form already.
 UNTIDY = r"[^\x20-\x7e\n]|  | \n|\n |^[ \n]|[ \n]$"
 
@@ -315,7 +327,8 @@ def canonicalize(texts: pa.Array, everywhere: bool) -> pa.Array:
     texts = texts if pa.types.is_string(texts.type) else texts.cast(pa.string())
     untidy = pc.fill_null(pc.match_substring_regex(texts, UNTIDY), False)
     if pc.sum(untidy).as_py():
-        return pc.replace_with_mask(texts, untidy, _canonicalize(texts.filter(untidy), everywhere))
+        some = texts.filter(untidy)
+        return pc.replace_with_mask(texts, untidy, pa.concat_arrays([_canonicalize(some.slice(lo, hi - lo), everywhere) for lo, hi in slices(some)]))
     return texts
 
 
