@@ -189,9 +189,30 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_mix, p1_shares, p1_token_shares, p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_tags, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates]
+    named = [p1_mix, p1_shares, p1_token_shares, p1_supply, p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_tags, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates]
     return {f.__name__: f for f in named}
 
 
+P2_SQL = """
+with r as (select distinct pair_id, unnest(['output_prompt', 'input_prompt']) as field_name, unnest([output_prompt, input_prompt]) as t from prompt_pairs),
+ s as (select field_name, pair_id, list_distinct(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) as w from r where t is not null),
+ k as (select * from s where len(w) >= 25)
+select a.field_name, a.pair_id as key_a, b.pair_id as key_b from k a join k b on a.field_name = b.field_name and a.pair_id < b.pair_id
+ where len(list_intersect(a.w, b.w)) >= 0.7 * len(list_distinct(a.w || b.w)) - 1e-9"""
+P1_SQL = """
+with n as (select id, loaded_at, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from source_pool),
+ l as (select id, t from (select *, row_number() over (partition by id order by loaded_at desc) as k from n) where k = 1 and t <> ''),
+ u as (select min(id) as id, len(string_split(t, ' ')) as words, regexp_extract(min(id), '^[a-z]+') as source from l group by t),
+ c as (select pool_config_id, cast(train_size + val_size + test_size as bigint) as total, min_words, unnest(['pangram', 'kaggle', 'defan']) as source from pool_config)
+select c.pool_config_id, c.source, count(u.id) as supply, c.total from c left join u on u.source = c.source and u.words >= c.min_words group by all"""
+
+
+def p1_supply(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct eligible records of each source for each pool, and the pool's size."""
+    mix = mixing.Mix(p1_records(spark, d), p1_configs(spark, d), "id", sources=3)
+    return mix.targets.select(F.col("config").alias("pool_config_id"), "source", "supply", "total")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """p2_found and p1_supply; the others are tested against brute force, round trips and held-out labels."""
+    return {"p2_found": P2_SQL, "p1_supply": P1_SQL}
