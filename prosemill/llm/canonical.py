@@ -182,8 +182,10 @@ def _expand(b: Batch, t: Tables) -> None:
     size = t.size[cps].astype(np.int64)
     joiner = (cps == 0x200D) | (cps == 0x200C)
     if joiner.any():  # joiners inside pictographs and Arabic or Indic words are seen
-        before = np.concatenate([[0], cps[:-1]])
-        seen = joiner & ((before >= 0x2600) & (before <= 0x27BF) | (before >= 0x1F000) & (before < 0xE0000) | (before == 0xFE0F) | (before >= 0x600) & (before < 0x1100))
+        before, after = np.concatenate([[0], cps[:-1]]), np.concatenate([cps[1:], [0]])
+        drawn = lambda x: (x >= 0x2600) & (x <= 0x27BF) | (x >= 0x1F000) & (x < 0xE0000) | (x == 0xFE0F)
+        shaped = lambda x: (x >= 0x600) & (x < 0x1100)
+        seen = joiner & (drawn(before) & drawn(after) | shaped(before) & shaped(after))
         size[seen] = 1
     crlf = (cps == 0x0A) & (np.concatenate([[0], cps[:-1]]) == 0x0D)
     if len(cps) and crlf.any():
