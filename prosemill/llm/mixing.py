@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm.ranks import hash_key, hash_range, prefix_sums, spread_sums
+from prosemill.llm.ranks import hash_key, prefix_sums, spread_sums
 
 RANGES = 256
 
@@ -131,17 +131,26 @@ def assign_splits(repeats: DataFrame, configs: DataFrame, key: str) -> DataFrame
     """repeats with ``split``: test first, then val, the rest train, in a second hash order.
 
     Sizes scale with the pool if it came out smaller than asked. Copies of a
-    record are never separated, so a boundary may be off by max_repeats - 1.
+    record are never separated: a record that would straddle a boundary stays
+    in train, and single records fill the place it leaves, so sizes are exact
+    as long as there are single records.
     """
     sizes = repeats.groupBy("config").agg(F.sum("repeats").alias("__got"))
     ratio = F.least(F.lit(1.0), F.col("__got") / F.col("total"))
     cuts = configs.join(sizes, "config").select(
         "config", F.round(F.col("test_size") * ratio).alias("__test"), F.round((F.col("test_size") + F.col("val_size")) * ratio).alias("__val"), "seed"
     )
-    d = repeats.join(F.broadcast(cuts), "config").withColumn("__key", hash_key(F.col("seed") + 1, F.col(key)))
+    cuts = F.broadcast(cuts)  # a row per pool
+    d = repeats.join(cuts, "config").withColumn("__key", hash_key(F.col("seed") + 1, F.col(key)))
     d = prefix_sums(d, ["config"], "__key", [key], "repeats", "__at", 1024)
-    split = F.when(F.col("__at") < F.col("__test"), "test").when(F.col("__at") < F.col("__val"), "val").otherwise("train")
-    return d.withColumn("split", split).drop("__at", "__key", "__test", "__val", "seed")
-
-
-__all__ = ["Mix", "assign_splits", "budgets", "hash_range", "unique_records", "word_count"]
+    end = F.col("__at") + F.col("repeats")
+    whole = F.when(end <= F.col("__test"), "test").when((F.col("__at") >= F.col("__test")) & (end <= F.col("__val")), "val").otherwise("train")
+    d = d.withColumn("split", whole)
+    part = lambda name: F.sum(F.when(F.col("split") == name, F.col("repeats")).otherwise(0))
+    got = d.groupBy("config").agg(part("test").alias("t"), part("val").alias("v"), F.first("__test").alias("a"), F.first("__val").alias("b"))
+    gaps = F.broadcast(got.select("config", (F.col("a") - F.col("t")).alias("__gap_t"), (F.col("b") - F.col("t") - F.col("v")).alias("__gaps")))
+    single = (F.col("split") == "train") & (F.col("repeats") == 1)
+    fill = prefix_sums(d.filter(single), ["config"], "__key", [key], "repeats", "__i", 1024).join(gaps, "config")
+    fill = fill.withColumn("split", F.when(F.col("__i") < F.col("__gap_t"), "test").when(F.col("__i") < F.col("__gaps"), "val").otherwise("train"))
+    columns = [*repeats.columns, "split"]
+    return d.filter(~single).select(*columns).unionByName(fill.select(*columns))

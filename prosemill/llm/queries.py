@@ -28,11 +28,12 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_mix(spark: SparkSession, d: str) -> DataFrame:
-    """Every record of every pool with its copies and split."""
+    """Every pool, one row per copy of a record, with its split."""
     configs = p1_configs(spark, d)
     mix = mixing.Mix(p1_records(spark, d), configs, "id", sources=3)
     split = mixing.assign_splits(mix.repeats(), configs.select("config", "total", "val_size", "test_size", "seed"), "id")
-    return split.select(F.col("config").alias("pool_config_id"), "source", "id", "repeats", "tokens", "split")
+    copy = F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")
+    return split.select(F.col("config").alias("pool_config_id"), "source", "id", copy, "tokens", "split")
 
 
 def _p1_shares(spark: SparkSession, d: str, size: str) -> DataFrame:

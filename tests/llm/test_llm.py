@@ -73,7 +73,7 @@ def test_mix_reaches_budgets_exactly(spark, size):
     split = mixing.assign_splits(got, conf.select("config", "total", "val_size", "test_size", "seed"), "id")
     if size == "records":
         c = {(r["config"], r["split"]): r["n"] for r in split.groupBy("config", "split").agg(F.sum("repeats").alias("n")).collect()}
-        assert abs(c[1, "test"] - 40) <= 2 and abs(c[1, "val"] - 40) <= 2
+        assert c[1, "test"] == c[1, "val"] == 40 and c[1, "train"] == 320
         assert split.groupBy("config", "id").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
 
 
