@@ -9,7 +9,7 @@ accept null and empty texts: metrics of an absent text are 0 unless stated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = r"[ \t\n\r\f]+"
@@ -89,6 +89,23 @@ def ngrams(ws: Column, n: int) -> Column:
     return F.when(F.size(ws) >= n, F.transform(starts, lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hashes(ws: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams of an array of words: for counting distinct ones without building strings."""
+    starts = F.sequence(F.lit(1), F.size(ws) - (n - 1))
+    grams = F.transform(starts, lambda i: F.xxhash64(*[F.element_at(ws, i + k) for k in range(n)]))
+    return F.when(F.size(ws) >= n, grams).otherwise(F.array().cast("array<bigint>"))
+
+
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """keep and the named columns, each computed once per row.
+
+    Chained projections would be merged and a shared array computed again for
+    every metric that uses it; the one-element explode keeps them apart.
+    """
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*keep, F.explode(made).alias("__m")).select(*keep, "__m.*")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / max(b, 1)."""
     return a.cast("double") / F.greatest(b.cast("double"), F.lit(1.0))
@@ -173,8 +190,7 @@ def structural(text: Column, ls: Column) -> dict[str, Column]:
 
 def repetition_ratio(ws: Column, n: int = 2) -> Column:
     """n for each n-gram seen before, per word; 0 below 2n words. May exceed 1."""
-    g = ngrams(ws, n)
-    repeats = F.size(g) - F.size(F.array_distinct(g))
+    repeats = F.greatest(F.size(ws) - (n - 1), F.lit(0)) - F.size(F.array_distinct(gram_hashes(ws, n)))
     return F.when(F.size(ws) < 2 * n, 0.0).otherwise(ratio(repeats * n, F.size(ws)))
 
 
@@ -309,13 +325,12 @@ def quality(info: Column, clear: Column, complete: Column, weights: tuple[float,
 
 def ngram_repetition(toks: Column, n: int = 3) -> Column:
     """1 - distinct / total n-grams; 0 without n-grams."""
-    g = ngrams(toks, n)
-    return F.when(F.size(g) == 0, 0.0).otherwise(1.0 - ratio(F.size(F.array_distinct(g)), F.size(g)))
+    total = F.greatest(F.size(toks) - (n - 1), F.lit(0))
+    return F.when(total == 0, 0.0).otherwise(1.0 - ratio(F.size(F.array_distinct(gram_hashes(toks, n))), total))
 
 
 def distinct_n(toks: Column, n: int = 2) -> Column:
-    g = ngrams(toks, n)
-    return ratio(F.size(F.array_distinct(g)), F.size(g))
+    return ratio(F.size(F.array_distinct(gram_hashes(toks, n))), F.greatest(F.size(toks) - (n - 1), F.lit(0)))
 
 
 def lightweight_style(text: Column, toks: Column) -> Column:

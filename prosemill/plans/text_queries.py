@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as X
+from prosemill.functions import udfs as U
 from prosemill.plans.catalogue import DOCS_SQL, PAIRS_SQL, gram_sql, hits_sql, list_sql, norm_sql, query, r6, strip_sql, w_sql
-from prosemill.session import table
+from prosemill.session import durable, spread, table
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """documents with words, tokens and lines."""
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", "lang", "source", "topic", X.present(t).alias("t"), X.words(t).alias("w"), X.tokens(t).alias("tok"), X.lines(t).alias("ls"))
+    return X.once(spread(table(spark, d, "documents").select("doc_id", "lang", "source", "topic", "text")), ["doc_id", "lang", "source", "topic"], t=X.present(t), w=X.words(t), tok=X.tokens(t), ls=X.lines(t))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """One row per pair: the prompt q and the essay t with words, tokens and lines."""
     p = table(spark, d, "prompt_pairs").select("pair_id", "output_prompt", "best_essay").dropDuplicates(["pair_id"])
     t, q = F.col("best_essay"), F.col("output_prompt")
-    return p.select("pair_id", X.present(q).alias("q"), X.present(t).alias("t"), X.words(t).alias("w"), X.tokens(t).alias("tok"), X.tokens(q).alias("qtok"), X.lines(t).alias("ls"))
+    return X.once(p, ["pair_id"], q=X.present(q), t=X.present(t), w=X.words(t), tok=X.tokens(t), qtok=X.tokens(q), ls=X.lines(t))
 
 
 def metric(name: str, out: str, build, sql: str) -> None:
@@ -167,11 +168,9 @@ def txt_27(spark: SparkSession, d: str) -> DataFrame:
 
 
 def letter_entropy(spark: SparkSession, d: str) -> DataFrame:
-    """Entropy in bits of the characters of each document: counts per (document, character), combined before the shuffle."""
-    letters = table(spark, d, "documents").select("doc_id", F.explode(F.split(X.present(F.col("text")), "")).alias("c")).filter("c <> ''")
-    counts = letters.groupBy("doc_id", "c").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("doc_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return sums.select("doc_id", (F.log2("total") - F.col("s") / F.col("total")).alias("entropy"))
+    """(doc_id, entropy) in bits of the characters of each document that has text."""
+    t = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return t.select("doc_id", U.char_entropy(F.col("text")).alias("entropy")).filter("entropy IS NOT NULL")
 
 
 def char_entropy(spark: SparkSession, d: str) -> DataFrame:
@@ -233,17 +232,14 @@ FLAGSHIP_METRICS = {"ngram_repetition_3": 1.0, "distinct_2": -1.0, "char_entropy
 
 
 def document_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Per document the metrics of the z-scored slop score."""
+    """Per document the metrics of the z-scored slop score, as a table: its readers go over it more than once."""
     t = F.col("text")
-    base = table(spark, d, "documents").select("doc_id", "lang", X.present(t).alias("t"), X.tokens(t).alias("tok"))
-    surface = base.select(
+    scan = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).withColumn("char_entropy", F.coalesce(U.char_entropy(t), F.lit(0.0)))
+    base = X.once(scan, ["doc_id", "lang", "char_entropy"], t=X.present(t), tok=X.tokens(t))
+    return durable(base.select(
         "doc_id", "lang", X.ngram_repetition(F.col("tok")).alias("ngram_repetition_3"), X.distinct_n(F.col("tok")).alias("distinct_2"),
-        X.punct_density(F.col("t")).alias("punct_density"), X.caps_ratio(F.col("t")).alias("caps_ratio"),
-    )
-    entropy = letter_entropy(spark, d)
-    return surface.join(entropy, "doc_id", "left").select(
-        "doc_id", "lang", "ngram_repetition_3", "distinct_2", F.coalesce("entropy", F.lit(0.0)).alias("char_entropy"), "punct_density", "caps_ratio"
-    )
+        "char_entropy", X.punct_density(F.col("t")).alias("punct_density"), X.caps_ratio(F.col("t")).alias("caps_ratio"),
+    ))
 
 
 def slop_scores(metrics: DataFrame) -> DataFrame:

@@ -12,17 +12,21 @@ from prosemill.operators import sampling as S
 from prosemill.operators import search, synth
 from prosemill.plans.catalogue import query, r6
 from prosemill.plans.row_queries import LOG_ONCE_SQL, log_once, once, pool
-from prosemill.session import checkpoint_dir, table
+from prosemill.session import checkpoint_dir, spread, table
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("txt_35_compression_ratio")
 def txt_35(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", r6(U.compression_ratio(F.col("text"))).alias("ratio"))
+    return texts(spark, d).select("doc_id", r6(U.compression_ratio(F.col("text"))).alias("ratio"))
 
 
 @query("txt_36_sloppy_spans")
 def txt_36(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", U.sloppy_spans(F.col("text")).alias("spans"))
+    return texts(spark, d).select("doc_id", U.sloppy_spans(F.col("text")).alias("spans"))
 
 
 @query("txt_37_clean_output")
@@ -165,7 +169,7 @@ def ml_04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml_05_heuristic_scores")
 def ml_05(spark: SparkSession, d: str) -> DataFrame:
-    return M.with_scores(table(spark, d, "documents").select("doc_id", "text"), "text", "heuristic_score", M.heuristic_scorer).select("doc_id", "heuristic_score")
+    return M.with_scores(texts(spark, d), "text", "heuristic_score", M.heuristic_scorer).select("doc_id", "heuristic_score")
 
 
 @query("str_01_drained_log")
