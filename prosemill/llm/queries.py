@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm import abuse, canonical, mixing, neardup, packing, pairs, tokens, truncation
-from prosemill.session import durable, table
+from prosemill.session import durable, spread, table
 
 NEAR, LEAST_WORDS = 0.7, 25
 
@@ -150,11 +150,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document as its list of byte_bpe_50k ids."""
-    return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+    return tokens.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _p7_pack(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", tokens.token_counts(F.col("text")).alias("n_tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tokens.token_counts(F.col("text")).alias("n_tokens"))
     caps = [r[0] for r in table(spark, d, "generation_config").select("max_seq_len").distinct().collect()]  # a fixed table of 5 rows
     return packing.pack(durable(docs), "doc_id", "n_tokens", caps)
 
@@ -170,7 +170,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p8(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"), "doc_id", "text", "toxic", ["source"])
+    return abuse.score_documents(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "doc_labels"), "doc_id", "text", "toxic", ["source"])
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
