@@ -12,7 +12,7 @@ from prosemill.operators import relational as J
 from prosemill.operators import rows as R
 from prosemill.operators import synth
 from prosemill.plans.catalogue import DOCS_SQL, query, r6, w_sql
-from prosemill.plans.row_queries import INVALID_SQL, LOG_ONCE_SQL, ONCE_SQL, RATIO_SQL, SIM_SQL, log_once, once
+from prosemill.plans.row_queries import INVALID_SQL, LOG_ONCE_SQL, ONCE_SQL, RATIO_SQL, SIM_SQL, essay_overlap, essay_ratio, log_once, once
 from prosemill.plans.text_queries import ABNORMAL, ADVICE, ECHO, GENERIC, INFO, REP2, docs
 from prosemill.session import table
 
@@ -20,9 +20,7 @@ from prosemill.session import table
 
 
 def gated(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay", "input_slop_score", "output_slop_score", "mutation_op")
-    a, b = X.words(F.col("best_essay")), X.words(F.col("baseline_essay"))
-    return p.select("pair_id", "mutation_op", "input_slop_score", "output_slop_score", R.word_overlap(a, b).alias("similarity"), X.ratio(F.size(a), F.size(b)).alias("ratio"), R.invalid_output(F.col("best_essay")).alias("invalid"))
+    return once(spark, d, "mutation_op", "input_slop_score", "output_slop_score", similarity=essay_overlap(), ratio=essay_ratio(), invalid=R.invalid_output(F.col("best_essay")))
 
 
 GATED_SQL = f"(select pair_id, mutation_op, input_slop_score, output_slop_score, {SIM_SQL} as similarity, {RATIO_SQL} as ratio, coalesce({INVALID_SQL}, true) as invalid from {ONCE_SQL})"
@@ -319,9 +317,9 @@ def agg_37(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg_38_original_vs_rewrite", f"select round(avg(input_slop_score), 6) as original, round(avg(output_slop_score), 6) as rewrite, round(avg({w_sql('baseline_essay').replace('[x', 'len([x', 1)})), 6) as words_a, round(avg({w_sql('best_essay').replace('[x', 'len([x', 1)})), 6) as words_b from {ONCE_SQL}")
 def agg_38(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "input_slop_score", "output_slop_score", "baseline_essay", "best_essay")
+    p = once(spark, d, "input_slop_score", "output_slop_score", a=X.word_count(F.col("baseline_essay")), b=X.word_count(F.col("best_essay")))
     mean = lambda c: r6(F.avg(c))
-    return p.agg(mean("input_slop_score").alias("original"), mean("output_slop_score").alias("rewrite"), mean(X.word_count(F.col("baseline_essay"))).alias("words_a"), mean(X.word_count(F.col("best_essay"))).alias("words_b"))
+    return p.agg(mean("input_slop_score").alias("original"), mean("output_slop_score").alias("rewrite"), mean("a").alias("words_a"), mean("b").alias("words_b"))
 
 
 @query("agg_39_before_after", f"select topic_source, round(avg(input_slop_score), 6) as before, round(avg(output_slop_score), 6) as after, round(avg(input_slop_score - output_slop_score), 6) as delta from {ONCE_SQL} group by topic_source")

@@ -89,8 +89,8 @@ def join_09(spark: SparkSession, d: str) -> DataFrame:
 
 @query("join_10_prefix", f"select l.log_id, p.pair_id from {LOG_ONCE_SQL} l join {ONCE_SQL} p on left(l.essay, 60) = left(p.best_essay, 60)")
 def join_10(spark: SparkSession, d: str) -> DataFrame:
-    a = log_once(spark, d, "essay").select("log_id", F.left("essay", F.lit(60)).alias("head"))
-    return a.join(once(spark, d, "best_essay").select("pair_id", F.left("best_essay", F.lit(60)).alias("head")), "head").select("log_id", "pair_id")
+    a = log_once(spark, d, head=F.left("essay", F.lit(60)))
+    return a.join(once(spark, d, head=F.left("best_essay", F.lit(60))), "head").select("log_id", "pair_id")
 
 
 @query("join_11_fill_missing", "select d.doc_id, coalesce(d.slop_score, t.s) as slop_score from documents d left join (select topic, max(slop_score) as s from topic_sources where topic is not null group by topic) t using (topic)")
@@ -116,10 +116,8 @@ def join_13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("join_14_mirror_pairs", f"select a.pair_id, length(a.best_essay) as best_chars, length(b.baseline_essay) as baseline_chars from {ONCE_SQL} a join {ONCE_SQL} b using (pair_id) where a.best_essay is not null and b.baseline_essay is not null")
 def join_14(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay")
-    a = p.filter("best_essay IS NOT NULL").select("pair_id", F.length("best_essay").cast("long").alias("best_chars"))
-    b = p.filter("baseline_essay IS NOT NULL").select("pair_id", F.length("baseline_essay").cast("long").alias("baseline_chars"))
-    return a.join(b, "pair_id")
+    side = lambda c, out: once(spark, d, **{out: F.length(c).cast("long")}).filter(F.col(out).isNotNull())
+    return side("best_essay", "best_chars").join(side("baseline_essay", "baseline_chars"), "pair_id")
 
 
 # ---- deduplication and ranking -----------------------------------------------------------------
@@ -143,9 +141,8 @@ def win_04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win_05_few_shot_pool", f"select log_id, slop_score from (select log_id, slop_score, row_number() over (partition by left(essay, 4000) order by slop_score, log_id) as n from {LOG_ONCE_SQL} where essay is not null and slop_score is not null) where n = 1 order by slop_score, log_id limit 100")
 def win_05(spark: SparkSession, d: str) -> DataFrame:
-    e = log_once(spark, d, "essay", "slop_score").filter("essay IS NOT NULL AND slop_score IS NOT NULL")
     head = F.left("essay", F.lit(4000))
-    e = e.select("log_id", "slop_score", F.xxhash64(F.lit(1), head).alias("a"), F.xxhash64(F.lit(2), head).alias("b"))
+    e = log_once(spark, d, "slop_score", a=F.xxhash64(F.lit(1), head), b=F.xxhash64(F.lit(2), head), some=F.col("essay").isNotNull()).filter("some AND slop_score IS NOT NULL")
     best = e.groupBy("a", "b").agg(F.min(F.struct("slop_score", "log_id")).alias("m")).select("m.*")
     return best.orderBy("slop_score", "log_id").limit(100).select("log_id", "slop_score")
 

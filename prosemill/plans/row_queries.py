@@ -15,14 +15,27 @@ ONCE_SQL = "(select pair_id, any_value(topic) as topic, any_value(topic_source)
 LOG_ONCE_SQL = "(select log_id, any_value(topic) as topic, any_value(essay) as essay, any_value(slop_score) as slop_score, any_value(optimization_slop) as optimization_slop, any_value(drift_penalty) as drift_penalty, any_value(constraint_ok) as constraint_ok, any_value(constraint_reason) as constraint_reason, any_value(generation) as generation, any_value(prompt_id) as prompt_id, any_value(mutation_op) as mutation_op, any_value(domain_bucket) as domain_bucket, any_value(logged_at) as logged_at from essay_log group by log_id)"
 
 
-def once(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """The pair log, each pair once."""
-    return table(spark, d, "prompt_pairs").select("pair_id", *columns).dropDuplicates(["pair_id"])
+def once(spark: SparkSession, d: str, *columns: str, **made: Column) -> DataFrame:
+    """The pair log, each pair once, with columns made from it.
 
+    What is delivered again is equal, so columns are made before the shuffle
+    that drops it: texts that are only measured don't travel.
+    """
+    return table(spark, d, "prompt_pairs").select("pair_id", *columns, *[c.alias(n) for n, c in made.items()]).dropDuplicates(["pair_id"])
 
-def log_once(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """The essay log, each entry once."""
-    return table(spark, d, "essay_log").select("log_id", *columns).dropDuplicates(["log_id"])
+
+def log_once(spark: SparkSession, d: str, *columns: str, **made: Column) -> DataFrame:
+    """The essay log, each entry once, with columns made from it."""
+    return table(spark, d, "essay_log").select("log_id", *columns, *[c.alias(n) for n, c in made.items()]).dropDuplicates(["log_id"])
+
+
+def essay_ratio() -> Column:
+    """Words of the best essay per word of the baseline."""
+    return X.ratio(X.word_count(F.col("best_essay")), X.word_count(F.col("baseline_essay")))
+
+
+def essay_overlap() -> Column:
+    return R.word_overlap(X.words(F.col("best_essay")), X.words(F.col("baseline_essay")))
 
 
 def pool(spark: SparkSession, d: str) -> DataFrame:
@@ -95,9 +108,8 @@ RATIO_SQL = f"({N_WORDS('best_essay')} / greatest(cast({N_WORDS('baseline_essay'
 
 @query("flt_06_ratio_and_delta", f"select pair_id from {ONCE_SQL} where {RATIO_SQL} between 0.8 and 1.3 and input_slop_score - output_slop_score >= 0.1")
 def flt_06(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay", "input_slop_score", "output_slop_score")
-    ratio = X.ratio(X.word_count(F.col("best_essay")), X.word_count(F.col("baseline_essay")))
-    return p.filter(ratio.between(0.8, 1.3) & (F.col("input_slop_score") - F.col("output_slop_score") >= 0.1)).select("pair_id")
+    p = once(spark, d, "input_slop_score", "output_slop_score", ratio=essay_ratio())
+    return p.filter(F.col("ratio").between(0.8, 1.3) & (F.col("input_slop_score") - F.col("output_slop_score") >= 0.1)).select("pair_id")
 
 
 SIM_SQL = f"(len(list_intersect(list_distinct({w_sql('best_essay')}), list_distinct({w_sql('baseline_essay')}))) / greatest(cast(len(list_distinct({w_sql('best_essay')} || {w_sql('baseline_essay')})) as double), 1.0))"
@@ -105,9 +117,7 @@ SIM_SQL = f"(len(list_intersect(list_distinct({w_sql('best_essay')}), list_disti
 
 @query("flt_07_similarity_gate", f"select pair_id, round({SIM_SQL}, 6) as similarity from {ONCE_SQL} where {SIM_SQL} >= 0.15 and {RATIO_SQL} between 0.80 and 1.25")
 def flt_07(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay")
-    a, b = X.words(F.col("best_essay")), X.words(F.col("baseline_essay"))
-    p = p.select("pair_id", R.word_overlap(a, b).alias("s"), X.ratio(F.size(a), F.size(b)).alias("ratio"))
+    p = once(spark, d, s=essay_overlap(), ratio=essay_ratio())
     return p.filter(R.similarity_gate(F.col("s"), F.col("ratio"), 0.15, 0.80, 1.25)).select("pair_id", r6("s").alias("similarity"))
 
 
@@ -116,15 +126,13 @@ INVALID_SQL = f"({strip_sql('coalesce(best_essay, {0})'.format(chr(39) * 2))} =
 
 @query("flt_08_invalid_output", f"select pair_id, coalesce({INVALID_SQL}, true) as invalid from {ONCE_SQL}")
 def flt_08(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d, "best_essay").select("pair_id", R.invalid_output(F.col("best_essay")).alias("invalid"))
+    return once(spark, d, invalid=R.invalid_output(F.col("best_essay")))
 
 
 @query("flt_09_pass_gate", f"select pair_id, ({SIM_SQL} >= 0.1 and {RATIO_SQL} between 0.8 and 1.25 and not coalesce({INVALID_SQL}, true)) as passed from {ONCE_SQL}")
 def flt_09(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay")
-    a, b = X.words(F.col("best_essay")), X.words(F.col("baseline_essay"))
-    gate = R.similarity_gate(R.word_overlap(a, b), X.ratio(F.size(a), F.size(b)), 0.1, 0.8, 1.25)
-    return p.select("pair_id", (gate & ~R.invalid_output(F.col("best_essay"))).alias("passed"))
+    gate = R.similarity_gate(essay_overlap(), essay_ratio(), 0.1, 0.8, 1.25)
+    return once(spark, d, passed=gate & ~R.invalid_output(F.col("best_essay")))
 
 
 @query("flt_10_split_or_null", f"select id, split from {POOL_SQL} where split = 'train' or split is null")
@@ -141,19 +149,19 @@ def flt_11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flt_12_refusals", f"select log_id from {LOG_ONCE_SQL} where regexp_matches(essay, '{X.REFUSAL.replace(chr(39), chr(39) * 2)}')")
 def flt_12(spark: SparkSession, d: str) -> DataFrame:
-    return log_once(spark, d, "essay").filter(F.col("essay").rlike(X.REFUSAL)).select("log_id")
+    return log_once(spark, d, refused=F.col("essay").rlike(X.REFUSAL)).filter("refused").select("log_id")
 
 
 @query("flt_13_rollout_length", f"select pair_id from {ONCE_SQL} where {N_WORDS('best_essay')} >= 50 and {N_WORDS('best_essay')} >= 0.40 * {N_WORDS('baseline_essay')}")
 def flt_13(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay")
-    n, m = X.word_count(F.col("best_essay")), X.word_count(F.col("baseline_essay"))
-    return p.filter((n >= 50) & (n >= 0.40 * m)).select("pair_id")
+    p = once(spark, d, n=X.word_count(F.col("best_essay")), m=X.word_count(F.col("baseline_essay")))
+    return p.filter("n >= 50 AND n >= 0.40D * m").select("pair_id")
 
 
 @query("flt_14_invalid_counts", f"select generation, count(*) as outputs, sum(case when {N_WORDS('essay')} < 60 then 1 else 0 end)::bigint as invalid from {LOG_ONCE_SQL} group by generation")
 def flt_14(spark: SparkSession, d: str) -> DataFrame:
-    return log_once(spark, d, "generation", "essay").groupBy("generation").agg(F.count("*").alias("outputs"), F.count_if(X.word_count(F.col("essay")) < 60).alias("invalid"))
+    e = log_once(spark, d, "generation", short=X.word_count(F.col("essay")) < 60)
+    return e.groupBy("generation").agg(F.count("*").alias("outputs"), F.count_if("short").alias("invalid"))
 
 
 @query("flt_15_least_improvement", f"select pair_id from {ONCE_SQL} where coalesce(improvement, 0) >= 0.2")
@@ -173,8 +181,8 @@ def flt_17(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flt_18_complete_pairs", f"select pair_id from {ONCE_SQL} where {strip_sql('best_essay')} <> '' and {strip_sql('baseline_essay')} <> '' and topic_source in ('original', 'cross_topic')")
 def flt_18(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay", "topic_source")
-    return p.filter((X.strip(F.col("best_essay")) != "") & (X.strip(F.col("baseline_essay")) != "") & F.col("topic_source").isin("original", "cross_topic")).select("pair_id")
+    complete = (X.strip(F.col("best_essay")) != "") & (X.strip(F.col("baseline_essay")) != "")
+    return once(spark, d, "topic_source", complete=complete).filter(F.col("complete") & F.col("topic_source").isin("original", "cross_topic")).select("pair_id")
 
 
 @query("flt_19_strict_improvements", f"select pair_id, round(input_slop_score - output_slop_score, 6) as improvement from {ONCE_SQL} where output_slop_score < input_slop_score")
@@ -205,9 +213,7 @@ def prj_02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prj_03_acceptance", f"select pair_id, case when input_slop_score - output_slop_score >= 0.15 and {RATIO_SQL} between 0.80 and 1.30 then 'strong' when input_slop_score - output_slop_score >= 0.10 then 'fallback' else 'no_threshold_topk' end as reason from {ONCE_SQL}")
 def prj_03(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay", "input_slop_score", "output_slop_score")
-    ratio = X.ratio(X.word_count(F.col("best_essay")), X.word_count(F.col("baseline_essay")))
-    return p.select("pair_id", R.acceptance(F.col("input_slop_score") - F.col("output_slop_score"), ratio).alias("reason"))
+    return once(spark, d, reason=R.acceptance(F.col("input_slop_score") - F.col("output_slop_score"), essay_ratio()))
 
 
 SPEC_SQL = "select gen_config_id, 'Role: editor' || chr(10) || chr(10) || 'Task: Write ' || max_new_tokens || ' tokens.' || chr(10) || chr(10) || 'Constraints:' || chr(10) || chr(10) || '- Keep to the topic' || chr(10) || chr(10) || '- Use temperature ' || temperature || chr(10) || chr(10) || 'Tone: plain' as structured, 'Write ' || max_new_tokens || ' tokens. Keep to the topic. Use temperature ' || temperature || '. plain.' as simple from generation_config"
@@ -285,17 +291,12 @@ LEN_RATIO = RATIO_SQL
 
 @query("prj_13_combined_reward", f"select pair_id, round(0.6 * (1 - output_slop_score) + 0.3 * improvement + 0.1 * (case when {RATIO_SQL} between 0.40 and 1.60 then 1.0 else greatest(0.0, 1.0 - abs({RATIO_SQL} - 1.0)) end) + 1e-9, 6) as reward from {ONCE_SQL}")
 def prj_13(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay", "output_slop_score", "improvement")
-    ratio = X.ratio(X.word_count(F.col("best_essay")), X.word_count(F.col("baseline_essay")))
-    return p.select("pair_id", r6(R.combined_reward(F.col("output_slop_score"), F.col("improvement"), ratio, 0.6, 0.3, 0.1) + 1e-9).alias("reward"))
+    return once(spark, d, reward=r6(R.combined_reward(F.col("output_slop_score"), F.col("improvement"), essay_ratio(), 0.6, 0.3, 0.1) + 1e-9))
 
 
 @query("prj_14_similarity_reward", f"select pair_id, round((1 - output_slop_score) + 0.25 * {SIM_SQL} - 0.10 * abs(1 - {RATIO_SQL}), 6) as reward from {ONCE_SQL}")
 def prj_14(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "best_essay", "baseline_essay", "output_slop_score")
-    a, b = X.words(F.col("best_essay")), X.words(F.col("baseline_essay"))
-    ratio = X.ratio(F.size(a), F.size(b))
-    return p.select("pair_id", r6((1 - F.col("output_slop_score")) + 0.25 * R.word_overlap(a, b) - 0.10 * F.abs(1 - ratio)).alias("reward"))
+    return once(spark, d, reward=r6((1 - F.col("output_slop_score")) + 0.25 * essay_overlap() - 0.10 * F.abs(1 - essay_ratio())))
 
 
 @query("prj_15_best_objective", f"select topic, arg_max(pair_id, (round(1.0 * (1 - output_slop_score) + 0.35 * input_slop_score, 6), -pair_id)) as pair_id from {ONCE_SQL} where output_slop_score is not null and input_slop_score is not null group by topic")
@@ -356,9 +357,9 @@ def prj_29(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prj_31_answer_reward", f"select pair_id, round(coalesce(output_slop_score, 0.0) + 0.5 * (case when improvement < 0 then 1 else 0 end) - 0.01 * greatest(1, {N_WORDS('output_prompt')}), 6) as reward from {ONCE_SQL}")
 def prj_31(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "output_prompt", "output_slop_score", "improvement")
+    p = once(spark, d, "output_slop_score", "improvement", n=X.word_count(F.col("output_prompt")))
     wrong = F.when(F.col("improvement") < 0, 1).otherwise(0)
-    return p.select("pair_id", r6(F.coalesce("output_slop_score", F.lit(0.0)) + 0.5 * wrong - 0.01 * F.greatest(F.lit(1), X.word_count(F.col("output_prompt")))).alias("reward"))
+    return p.select("pair_id", r6(F.coalesce("output_slop_score", F.lit(0.0)) + 0.5 * wrong - 0.01 * F.greatest(F.lit(1), F.col("n"))).alias("reward"))
 
 
 __all__ = ["POOL_SQL", "ONCE_SQL", "LOG_ONCE_SQL", "log_once", "once", "pool", "list_sql", "norm_sql", "Column"]
