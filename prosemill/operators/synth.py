@@ -225,3 +225,40 @@ def mutate_spec(spec: dict[str, str], seed: str, strength: int = 1) -> tuple[dic
         out[slot] = rng.choice(others)
         changed.append(slot)
     return out, changed
+
+
+RULES = {
+    "fillers": lambda w, r, p: _insert(w, r, p, FILLER_PHRASES, False) if len(w) >= 3 else w,
+    "vague": lambda w, r, p: _insert(w, r, p, VAGUE_PHRASES, True) if len(w) >= 3 else w,
+    "hedging": lambda w, r, p: _insert(w, r, p, HEDGES, True, UNHEDGED),
+    "repeat": _repeat,
+    "nouns": _nouns,
+    "opener": _opener,
+}
+
+
+def single_rule(text: Column, key: Column, rule: str, p: float) -> Column:
+    """struct(text, labels) of one rule at probability p."""
+
+    @F.arrow_udf(LABELLED)
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        made = [None if t is None else RULES[rule]([(w, 0) for w in t.split()], random.Random(f"{k}|{rule}"), p) for t, k in zip(texts.to_pylist(), keys.to_pylist())]
+        out = [pa.array([None if m is None else " ".join(w for w, _ in m) for m in made], pa.string()), pa.array([None if m is None else [x for _, x in m] for m in made], pa.list_(pa.int32()))]
+        return pa.StructArray.from_arrays(out, ["text", "labels"])
+
+    return run(text, key.cast("string"))
+
+
+def mutated_spec(spec_json: Column, key: Column, strength: int) -> Column:
+    """A specification as JSON with ``strength`` slots changed, and their names under "changed"."""
+    import json
+
+    @F.arrow_udf(StringType())
+    def run(specs: pa.Array, keys: pa.Array) -> pa.Array:
+        out = []
+        for s, k in zip(specs.to_pylist(), keys.to_pylist()):
+            spec, changed = mutate_spec(json.loads(s) if s else {}, f"{k}|{strength}", strength)
+            out.append(json.dumps(spec | {"changed": changed}, sort_keys=True, ensure_ascii=False))
+        return pa.array(out, pa.string())
+
+    return run(spec_json, key.cast("string"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["text_queries", "row_queries", "relational_queries", "measure_queries", "udf_queries"]
+MODULES = ["text_queries", "row_queries", "relational_queries", "measure_queries", "udf_queries", "io_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -197,7 +197,7 @@ def txt_39(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("pair_id", X.strip_boilerplate(F.col("t")).alias("text"))
 
 
-@query("txt_43_template", """select pair_id, case when t = '' then p when contains(p, t) then replace(p, t, '{topic}') when instr(lower(p), lower(t)) > 0
+@query("txt_44_template", """select pair_id, case when t = '' then p when contains(p, t) then replace(p, t, '{topic}') when instr(lower(p), lower(t)) > 0
   then substr(p, 1, instr(lower(p), lower(t)) - 1) || '{topic}' || substr(p, instr(lower(p), lower(t)) + length(t)) else p end as template
   from (select pair_id, coalesce(any_value(output_prompt), '') as p, coalesce(any_value(topic), '') as t from prompt_pairs group by pair_id)""")
 def txt_44(spark: SparkSession, d: str) -> DataFrame:
