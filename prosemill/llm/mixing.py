@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.llm.ranks import hash_key, prefix_sums, spread_sums
+from prosemill.session import durable
 
 RANGES = 256
 
@@ -98,7 +99,8 @@ class Mix:
             .withColumn("supply", F.coalesce("supply", F.lit(0)))
             .withColumn("capacity", F.col("supply") * F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)))
         )
-        self.budgets = budgets(self.targets, "config", "source", sources)
+        # a few rows that every later step uses: written once, so that plans stay small
+        self.budgets = durable(budgets(self.targets, "config", "source", sources))
 
     def repeats(self) -> DataFrame:
         """(config, source, key, tokens, weight, repeats) of the records in each pool."""
@@ -133,7 +135,8 @@ def assign_splits(repeats: DataFrame, configs: DataFrame, key: str) -> DataFrame
     Sizes scale with the pool if it came out smaller than asked. Copies of a
     record are never separated: a record that would straddle a boundary stays
     in train, and single records fill the place it leaves, so sizes are exact
-    as long as there are single records.
+    as long as there are single records. ``repeats`` is read twice; pass a
+    durable table.
     """
     sizes = repeats.groupBy("config").agg(F.sum("repeats").alias("__got"))
     ratio = F.least(F.lit(1.0), F.col("__got") / F.col("total"))
@@ -145,7 +148,7 @@ def assign_splits(repeats: DataFrame, configs: DataFrame, key: str) -> DataFrame
     d = prefix_sums(d, ["config"], "__key", [key], "repeats", "__at", 1024)
     end = F.col("__at") + F.col("repeats")
     whole = F.when(end <= F.col("__test"), "test").when((F.col("__at") >= F.col("__test")) & (end <= F.col("__val")), "val").otherwise("train")
-    d = d.withColumn("split", whole)
+    d = durable(d.withColumn("split", whole))
     part = lambda name: F.sum(F.when(F.col("split") == name, F.col("repeats")).otherwise(0))
     got = d.groupBy("config").agg(part("test").alias("t"), part("val").alias("v"), F.first("__test").alias("a"), F.first("__val").alias("b"))
     gaps = F.broadcast(got.select("config", (F.col("a") - F.col("t")).alias("__gap_t"), (F.col("b") - F.col("t") - F.col("v")).alias("__gaps")))

@@ -24,14 +24,14 @@ def p1_configs(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
     r = mixing.unique_records(table(spark, d, "source_pool"), "id", "text", "loaded_at")
-    return r.withColumn("source", F.regexp_extract(F.lower("id"), "^[a-z]+", 0))
+    return durable(r.withColumn("source", F.regexp_extract(F.lower("id"), "^[a-z]+", 0)))
 
 
 def p1_mix(spark: SparkSession, d: str) -> DataFrame:
     """Every pool, one row per copy of a record, with its split."""
     configs = p1_configs(spark, d)
     mix = mixing.Mix(p1_records(spark, d), configs, "id", sources=3)
-    split = mixing.assign_splits(mix.repeats(), configs.select("config", "total", "val_size", "test_size", "seed"), "id")
+    split = mixing.assign_splits(durable(mix.repeats()), configs.select("config", "total", "val_size", "test_size", "seed"), "id")
     copy = F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")
     return split.select(F.col("config").alias("pool_config_id"), "source", "id", copy, "tokens", "split")
 
@@ -41,7 +41,7 @@ def _p1_shares(spark: SparkSession, d: str, size: str) -> DataFrame:
     if size == "tokens":  # as many tokens as records of the asked number at the middle of the length window
         configs = configs.withColumn("total", (F.col("total") * (F.col("min_words") + F.col("max_words")) / 2).cast("long"))
     mix = mixing.Mix(p1_records(spark, d), configs, "id", size=size, sources=3)
-    return mix.report(mix.repeats()).withColumnRenamed("config", "pool_config_id")
+    return mix.report(durable(mix.repeats())).withColumnRenamed("config", "pool_config_id")
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
