@@ -61,7 +61,7 @@ def refill(survivors: list[Candidate], size: int, seeds: list[dict[str, str]], s
     return out[:size]
 
 
-def hill_climb(spark: SparkSession, seeds: list[dict[str, str]], score: Callable[[DataFrame], DataFrame], rounds: int, size: int, seed: int = 0, patience: int = 3) -> list[Candidate]:
+def prompt_search(spark: SparkSession, seeds: list[dict[str, str]], score: Callable[[DataFrame], DataFrame], rounds: int, size: int, seed: int = 0, patience: int = 3) -> list[Candidate]:
     """The best candidates of an evolutionary search, fittest first, each specification once.
 
     ``score`` takes a DataFrame (id, spec map) and adds ``fitness``: one

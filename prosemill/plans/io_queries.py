@@ -201,10 +201,10 @@ def _spec_score(df: DataFrame) -> DataFrame:
     return df.withColumn("fitness", tone + F.when(F.col("spec")["output_format"] == "one short paragraph", 0.3).otherwise(0.0))
 
 
-@query("ml_13_hill_climb")
+@query("ml_13_prompt_search")
 def ml_13(spark: SparkSession, d: str) -> DataFrame:
     seeds = [{"tone": "warm", "audience": r["config_name"]} for r in table(spark, d, "pool_config").select("config_name").orderBy("config_name").collect()]  # a fixed table
-    found = search.hill_climb(spark, seeds, _spec_score, rounds=4, size=12, seed=1)
+    found = search.prompt_search(spark, seeds, _spec_score, rounds=4, size=12, seed=1)
     return spark.createDataFrame([(i, c.fitness, c.found_in, c.origin, c.spec) for i, c in enumerate(found)], "rank int, fitness double, found_in int, origin string, spec map<string,string>").select("rank", "fitness", "found_in", "origin", F.to_json("spec").alias("spec"))
 
 

@@ -205,9 +205,9 @@ def test_scorer_adapters(spark):
     assert {r["k"]: r["o"] for r in made} == {1: "a a a a", 2: "one two three", 3: "made", 4: "made"}
 
 
-def test_hill_climb_finds_the_best_slot(spark):
+def test_prompt_search_finds_the_best_slot(spark):
     score = lambda df: df.withColumn("fitness", F.when(F.col("spec")["tone"] == "direct", 1.0).otherwise(0.0))
-    found = search.hill_climb(spark, [{"tone": "warm"}], score, rounds=4, size=8, seed=1)
+    found = search.prompt_search(spark, [{"tone": "warm"}], score, rounds=4, size=8, seed=1)
     assert found[0].fitness == 1.0 and found[0].spec["tone"] == "direct"
 
 
