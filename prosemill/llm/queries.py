@@ -122,8 +122,8 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return p4_texts(spark, d).dropDuplicates(["field_name", "key"]).select("field_name", "key", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-def _p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(pair_id, field_name, question, answer, broken), one row per answer."""
+def _p5_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """((pair_id, field_name, question, answer, broken), one row per answer; the durable table of questions and answers)."""
     t = table(spark, d, "prompt_pairs").select("pair_id", "topic", "input_prompt", "output_prompt", "best_essay").dropDuplicates(["pair_id"])
     for c in ("input_prompt", "output_prompt", "best_essay"):
         t = t.withColumn(c, canonical.screen_key_text(F.col(c)))
@@ -134,13 +134,14 @@ def _p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     t = t.select("pair_id", "topic", F.explode(both).alias("x")).select(F.struct("pair_id", "x.field_name").alias("k"), "topic", "x.question", F.col("x.answer").alias("text"))
     closed = durable(truncation.closings_of(t, "text", "topic"))
     verdict = truncation.judge(closed, "k", copies=False).select("k", F.col("unfinished").alias("broken"))
-    j = closed.join(verdict, "k")
-    return durable(j.select("k.pair_id", "k.field_name", "question", F.col("text").alias("answer"), "broken"))
+    columns = ["k.pair_id", "k.field_name", "question", F.col("text").alias("answer")]
+    return closed.join(verdict, "k").select(*columns, "broken"), closed.select(*columns)
 
 
 def p5_tags(spark: SparkSession, d: str) -> DataFrame:
     """Every answer with its defect, if any, and the share of it that each tag covers."""
-    return pairs.pair_defects(_p5_pairs(spark, d), "pair_id", "field_name", "question", "answer", "broken")
+    answers, source = _p5_pairs(spark, d)
+    return pairs.pair_defects(answers, "pair_id", "field_name", "question", "answer", "broken", source)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
