@@ -18,11 +18,11 @@ is a lower bound of d, and a pair whose distance exceeds the bound for its sizes
 is dropped inside the join before it becomes a candidate row. Candidates are
 compared again by 256 bits, and survivors verified exactly on their word sets.
 
-The number of blocks grows with the size band so the pigeonhole holds for the
-band's largest d, up to ``MAX_BLOCKS``; see ``blocks_for``. Beyond that band
-(sets of more than about 45 words at the lowest similarity) the guarantee holds
-for d <= 2*MAX_BLOCKS-1 and larger d is found with the probability the README
-gives; blocks are drawn anew in each of ``rounds`` independent rounds.
+The number of blocks grows with the size of the larger set of a pair, so the
+pigeonhole holds for every pair whatever its size: see ``blocks_for``. Sizes are
+banded (``band_tops``), and a band has the blocks of its largest size. A record is
+large in its own band and small in the bands above that hold sets it may pair
+with; large ones meet large and small ones, small ones only large ones.
 
 Exact copies are one class with one representative throughout, so a text that
 a third of all records share is joined once.
@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 
 from prosemill.session import durable
 
-MAX_BLOCKS = 8
-PART = 1 << 16  # bands of different parts of the input are this far apart
-# cell: band and parity; meta: 2 * size + 1 if exact. Few columns, so that the
-# rows of a record compress well in the shuffle.
-KEYS = "cell long, id long, meta int, bits long"
+MAX_BLOCKS = 1 << 20  # what a tag can hold: sets of some six million words at 0.7
+BAND_RATIO = 1.6  # narrow bands take more index rows, wide ones more comparisons
+PART = 40  # bits of meta below the part
+# cell: hash of part, band, role, block and parity; meta: part, 2 * size + 1 if
+# exact. Few columns, so that the rows of a record compress well in the shuffle.
+KEYS = "cell long, id long, meta long, bits long"
 
 
 def distinct_words(text: Column) -> Column:
@@ -55,9 +56,17 @@ def most_different(a: Column, b: Column, similarity: float) -> Column:
 
 
 def blocks_for(size: int, similarity: float) -> int:
-    """Blocks so that 2k-1 reaches the largest difference of two sets about that size."""
-    largest = int(2 * size * (1 - similarity) / (1 + similarity) / similarity**0.5)
-    return int(min(MAX_BLOCKS, max(2, (largest + 2) // 2)))
+    """Blocks so that 2k-1 reaches the largest difference of two sets of at most that size."""
+    largest = int(2 * size * (1 - similarity) / (1 + similarity) + 1e-9)
+    return min(MAX_BLOCKS, max(2, (largest + 2) // 2))
+
+
+def band_tops(size: int) -> list[int]:
+    """The largest size of each band, up to the band that holds size."""
+    tops = [32]
+    while tops[-1] < size:
+        tops.append(int(tops[-1] * BAND_RATIO))
+    return tops
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,11 +77,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def sketch_keys(ids: np.ndarray, parts: np.ndarray, words: np.ndarray, sizes: np.ndarray, similarity: float, rounds: int, seed: int = 0) -> dict[str, np.ndarray]:
+def sketch_keys(ids: np.ndarray, parts: np.ndarray, words: np.ndarray, sizes: np.ndarray, similarity: float, rounds: int, looks: bool, seed: int = 0) -> dict[str, np.ndarray]:
     """Index rows of a batch: words are the 64-bit hashes of all rows, one after another.
 
-    A record whose size lies near a change of the number of blocks is indexed
-    under the block counts of every size that may pair with it.
+    With ``looks`` the cells a record is looked up by, else those it is stored
+    under. The cells of large and of small records are apart.
     """
     row = np.repeat(np.arange(len(ids)), sizes)
     start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -80,14 +89,22 @@ def sketch_keys(ids: np.ndarray, parts: np.ndarray, words: np.ndarray, sizes: np
     some = sizes > 0
     if some.any():
         bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(words) >> np.uint64(58)), start[some])
-    out: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "band", "parity", "exact")}
-    # a pair uses the block count of its smaller set: a record takes part in the counts of all sizes it may pair with from above
-    low = np.array([blocks_for(int(np.ceil(s * similarity)), similarity) for s in range(int(sizes.max(initial=0)) + 1)])
-    own = np.array([blocks_for(s, similarity) for s in range(int(sizes.max(initial=0)) + 1)])
-    for k in range(2, MAX_BLOCKS + 1):
-        takes = (low[sizes] <= k) & (k <= own[sizes]) & some
+    out: dict[str, list[np.ndarray]] = {"row": [], "cell": [], "exact": []}
+    most = np.floor(sizes / similarity + 1e-9).astype(np.int64)  # the largest set to pair with
+    tops = band_tops(int(most.max(initial=0)))
+    own, last = np.searchsorted(tops, sizes), np.searchsorted(tops, most)
+
+    def add(rows: np.ndarray, at: np.ndarray, band: int, turn: int, small: np.ndarray, parity: np.ndarray, exact: bool) -> None:
+        tag = (parts[rows].astype(np.uint64) << np.uint64(48)) + np.uint64(turn << 40 | band << 24) + (at.astype(np.uint64) << np.uint64(1)) + small.astype(np.uint64)
+        out["row"].append(rows)
+        out["cell"].append(_mix(parity ^ _mix(tag + np.uint64(0x9E3779B97F4A7C15))))
+        out["exact"].append(np.full(len(rows), exact))
+
+    for band, top in enumerate(tops):
+        takes = (own <= band) & (band <= last) & some
         if not takes.any():
             continue
+        k = blocks_for(top, similarity)
         pick = takes[row]
         w, r = words[pick], row[pick]
         for turn in range(rounds):
@@ -98,25 +115,23 @@ def sketch_keys(ids: np.ndarray, parts: np.ndarray, words: np.ndarray, sizes: np
             order = np.argsort(cell, kind="stable")
             cell, h = cell[order], h[order]
             at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            parity = np.bitwise_xor.reduceat(h, at)
-            tag = lambda c: (np.uint64(turn * 16 + k) << np.uint64(8)) + (c % k).astype(np.uint64)
             full_cells = np.flatnonzero(np.repeat(takes, k))  # blocks without words have parity 0
             full = np.zeros(len(ids) * k, dtype=np.uint64)
-            full[cell[at]] = parity
-            out["row"].append(full_cells // k)
-            out["band"].append(tag(full_cells))
-            out["parity"].append(full[full_cells])
-            out["exact"].append(np.ones(len(full_cells), dtype=bool))
-            out["row"].append(cell // k)
-            out["band"].append(tag(cell))
-            out["parity"].append(full[cell] ^ h)
-            out["exact"].append(np.zeros(len(cell), dtype=bool))
-    cat = {k: np.concatenate(v) if v else np.zeros(0, dtype=bool if k == "exact" else np.uint64 if k != "row" else np.int64) for k, v in out.items()}
-    r = cat["row"].astype(np.int64)
-    band = parts[r].astype(np.int64) * PART + cat["band"].astype(np.int64)
+            full[cell[at]] = np.bitwise_xor.reduceat(h, at)
+            small = own < band
+            rows = full_cells // k
+            if looks:
+                add(rows, full_cells % k, band, turn, np.zeros(len(rows), dtype=bool), full[full_cells], True)
+                full_cells = full_cells[~small[rows]]
+                add(full_cells // k, full_cells % k, band, turn, np.ones(len(full_cells), dtype=bool), full[full_cells], True)
+            else:
+                add(rows, full_cells % k, band, turn, small[rows], full[full_cells], True)
+                add(cell // k, cell % k, band, turn, small[cell // k], full[cell] ^ h, False)
+    r = np.concatenate([np.zeros(0, dtype=np.int64), *out["row"]])
+    exact = np.concatenate([np.zeros(0, dtype=bool), *out["exact"]])
     return {
-        "cell": band << 32 | (cat["parity"].astype(np.uint64) >> np.uint64(32)).astype(np.int64), "id": ids[r],
-        "meta": (sizes[r] * 2 + cat["exact"]).astype(np.int32), "bits": bits[r].view(np.int64),
+        "cell": np.concatenate([np.zeros(0, dtype=np.uint64), *out["cell"]]).view(np.int64), "id": ids[r],
+        "meta": (parts[r].astype(np.int64) << PART) + sizes[r] * 2 + exact, "bits": bits[r].view(np.int64),
     }
 
 
@@ -146,30 +161,32 @@ def classes(prepared: DataFrame) -> DataFrame:
 def near_pairs(sets: DataFrame, similarity: float, rounds: int = 1) -> DataFrame:
     """(part, a, b), a < b: the pairs of ``sets`` (part, id, words) that survive the sketches, verified exactly."""
 
-    def index(batches):
-        for batch in batches:
-            words = batch.column("words")
-            if not len(words):
-                continue
-            sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            parts = batch.column("part").to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            for lo in range(0, len(ids), 2000):
-                hi = min(lo + 2000, len(ids))
-                yield pa.RecordBatch.from_pydict(sketch_keys(ids[lo:hi], parts[lo:hi], flat[ends[lo] : ends[hi]], sizes[lo:hi], similarity, rounds))
-
-    keys = sets.select("part", "id", "words").mapInArrow(index, KEYS)
-    look = keys.filter("meta % 2 = 1").select("cell", F.col("id").alias("i"), F.col("meta").alias("m"), F.col("bits").alias("x"))
-    kept = keys.select("cell", F.col("id").alias("j"), F.col("meta").alias("n"), F.col("bits").alias("y"))
-    m, n = F.floor(F.col("m") / 2), F.floor(F.col("n") / 2)
+    def index(looks):
+        def run(batches):
+            for batch in batches:
+                words = batch.column("words")
+                if not len(words):
+                    continue
+                sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                parts = batch.column("part").to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for lo in range(0, len(ids), 1000):
+                    hi = min(lo + 1000, len(ids))
+                    yield pa.RecordBatch.from_pydict(sketch_keys(ids[lo:hi], parts[lo:hi], flat[ends[lo] : ends[hi]], sizes[lo:hi], similarity, rounds, looks))
+
+        return sets.select("part", "id", "words").mapInArrow(run, KEYS)
+
+    look = index(True).select("cell", F.col("id").alias("i"), F.col("meta").alias("m"), F.col("bits").alias("x"))
+    kept = index(False).select("cell", F.col("id").alias("j"), F.col("meta").alias("n"), F.col("bits").alias("y"))
+    m, n = (F.expr(f"shiftright({c} & {(1 << PART) - 1}L, 1)") for c in "mn")
     bound = most_different(m, n, similarity) + 1e-9
     candidates = (
         look.join(kept, "cell")
-        .filter("i <> j AND (n % 2 = 0 OR i < j)")
+        .filter(f"i <> j AND (n % 2 = 0 OR i < j) AND shiftright(m, {PART}) = shiftright(n, {PART})")
         .filter((F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bound) & (F.abs(m - n) <= bound))
-        .select(F.expr(f"shiftright(cell, 32) div {PART}").cast("int").alias("part"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+        .select(F.expr(f"shiftright(m, {PART})").cast("int").alias("part"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
         .distinct()
     )
     candidates = _closer(candidates, sets, similarity)

@@ -140,6 +140,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(got) >= 0.97 * len(want)
 
 
+def test_near_duplicates_of_large_sets_at_the_threshold(spark):
+    rng = random.Random(5)
+    rows, want = [], set()
+    for n in (70, 80, 90, 110, 130, 150, 400):
+        for _ in range(20):
+            k, words = len(rows), rng.sample(range(10**6), 2 * n)
+            both = next(b for b in range(n + 1) if b >= 0.7 * (2 * n - b) - 1e-9)
+            rows.append((k, " ".join(f"w{x}" for x in words[:n])))
+            rows.append((k + 1, " ".join(f"w{x}" for x in words[n - both : 2 * n - both])))  # as many as may differ at equal size
+            rows.append((k + 2, " ".join(f"w{x}" for x in words[: -(-n * 7 // 10)])))  # the smallest set that may pair with the first
+            want |= {(k, k + 1), (k, k + 2)}
+    df = spark.createDataFrame(rows, "k long, t string").withColumn("part", F.lit(1))
+    members, links = neardup.near_duplicates(df, "part", "k", "t", 0.7, 25)
+    assert {(r["key_a"], r["key_b"]) for r in neardup.expand_pairs(members, links).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "k long, t string").withColumn("part", F.lit(0))
     members, links = neardup.near_duplicates(df, "part", "k", "t", 0.7, 25)
