@@ -87,7 +87,7 @@ def arr_19(spark: SparkSession, d: str) -> DataFrame:
 
 @query("arr_21_self_bleu")
 def arr_21(spark: SparkSession, d: str) -> DataFrame:
-    return U.self_bleu(log_once(spark, d, "mutation_op", "essay"), "mutation_op", "essay", "log_id", most=12)
+    return U.self_bleu(log_once(spark, d, "mutation_op", "essay"), "mutation_op", "essay", "log_id")
 
 
 @query("gen_01_sloppified")

@@ -73,6 +73,20 @@ def test_every_metric_takes_edge_strings(spark):
     assert all(r[n] is not None for r in rows for n in metrics)
 
 
+def test_self_bleu_takes_all_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), " ".join(rng.choices(["the", "a", "mill", "near", "ran", "it", "of"], k=rng.choice([0, 2, 3, 9, 30])))) for i in range(150)]
+    rows += [(200, "single", "one text"), (201, "a", None), (202, "a", "none shared"), (203, "far", "x y"), (204, "far", "z")]
+    got = {r["g"]: r["self_bleu"] for r in U.self_bleu(spark.createDataFrame(rows, "k long, g string, t string"), "g", "t", "k").collect()}
+    for g in ("a", "b", None):
+        ws = [t.split() for _, x, t in rows if x == g and t is not None]
+        values = [U.bleu(c, ws[:i] + ws[i + 1 :]) if set(c) & set(sum(ws[:i] + ws[i + 1 :], [])) else 0.0 for i, c in enumerate(ws)]
+        assert got[g] == pytest.approx(sum(values) / len(values))
+    assert got["single"] != got["single"] and got["far"] == 0
+
+
 def test_python_agrees_with_columns(spark):
     texts = [t for t in EDGES if t is not None] + ["The the quick brown fox, the quick brown fox. It ran; it ran!"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
