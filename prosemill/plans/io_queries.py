@@ -159,7 +159,7 @@ def ml_06(spark: SparkSession, d: str) -> DataFrame:
 @query("ml_03_regression")
 def ml_03(spark: SparkSession, d: str) -> DataFrame:
     p = once(spark, d, "input_prompt", "input_slop_score").filter("input_prompt IS NOT NULL AND input_slop_score IS NOT NULL")
-    f, _ = M.tfidf(p, "input_prompt", "features", most_features=2000)
+    f, _ = M.tfidf(p, "input_prompt", "features")
     test = F.pmod(F.xxhash64("pair_id"), F.lit(5)) == 0
     made = M.linear_regression(f.filter(~test), "features", "input_slop_score").transform(f.filter(test))
     return made.agg(F.count("*").alias("n"), *[r6(c).alias(n) for n, c in E.regression_metrics("input_slop_score", "prediction").items()])

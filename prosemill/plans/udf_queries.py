@@ -137,7 +137,7 @@ def win_23(spark: SparkSession, d: str) -> DataFrame:
 @query("win_35_top_features")
 def win_35(spark: SparkSession, d: str) -> DataFrame:
     p = once(spark, d, "input_prompt", "input_slop_score").filter("input_prompt IS NOT NULL AND input_slop_score IS NOT NULL")
-    f, vocabulary = M.tfidf(p, "input_prompt", "features", most_features=2000)
+    f, vocabulary = M.tfidf(p, "input_prompt", "features")
     model = M.linear_regression(f, "features", "input_slop_score")
     weights = sorted(zip(vocabulary, model.coefficients.toArray().tolist()), key=lambda x: -abs(x[1]))[:30]
     return spark.createDataFrame([(t, round(w, 9)) for t, w in weights], "term string, weight double")
@@ -157,7 +157,7 @@ def ml_01(spark: SparkSession, d: str) -> DataFrame:
 def ml_02(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    f, _ = M.tfidf(once(spark, d, "input_prompt"), "input_prompt", "features", most_features=2000)
+    f, _ = M.tfidf(once(spark, d, "input_prompt"), "input_prompt", "features")
     return f.select("pair_id", r6(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 

@@ -87,6 +87,24 @@ def test_self_bleu_takes_all_texts(spark):
     assert got["single"] != got["single"] and got["far"] == 0
 
 
+@pytest.mark.parametrize("name", ["ml_02_tfidf", "ml_03_regression", "win_35_top_features"])
+def test_tfidf_queries_keep_the_whole_vocabulary(spark, monkeypatch, tmp_path, name):
+    import __spark_entry__ as entry_module
+
+    rows = [(i, " ".join(f"w{i % 50 * 60 + j}" for j in range(60)), i / 200) for i in range(200)]  # 3,000 words in four documents each
+    spark.createDataFrame(rows, "pair_id long, input_prompt string, input_slop_score double").write.parquet(str(tmp_path / "prompt_pairs.parquet"))
+    sizes, tfidf = [], M.tfidf
+
+    def watched(*args, **kw):
+        made = tfidf(*args, **kw)
+        sizes.append(len(made[1]))
+        return made
+
+    monkeypatch.setattr(M, "tfidf", watched)
+    entry_module.queries()[name](spark, str(tmp_path))
+    assert sizes == [3000 + 50 * 59]
+
+
 def test_python_agrees_with_columns(spark):
     texts = [t for t in EDGES if t is not None] + ["The the quick brown fox, the quick brown fox. It ran; it ran!"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
