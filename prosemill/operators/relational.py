@@ -102,3 +102,19 @@ def assign_ranges(left: DataFrame, right: DataFrame, bucket: str, n: int, order_
     a = left.withColumn("__j", F.row_number().over(Window.partitionBy(bucket).orderBy(*order_left)) - 1)
     b = right.withColumn("__r", F.row_number().over(Window.partitionBy(bucket).orderBy(*order_right)) - 1).withColumn("__j", F.expr(f"__r div {n}"))
     return a.join(b.drop("__r"), [bucket, "__j"]).drop("__j")
+
+
+def starting_with(heads: DataFrame, head_key: str, head: str, texts: DataFrame, text_key: str, text: str, longest: int) -> DataFrame:
+    """(head_key, text_key) of every text that starts with a head of one to ``longest`` characters.
+
+    They meet on the hash of the head's first characters, as many as the next
+    lower of fixed lengths; then the whole head is compared.
+    """
+    lengths = F.array(*[F.lit(n) for n in [1, 2, 4, 8, 16, *range(32, longest, 32), longest]])
+    fits = lambda c: F.filter(lengths, lambda n: n <= F.length(c))
+    a = heads.filter(F.length(head) > 0).select(head_key, head, F.array_max(fits(head)).alias("__n"))
+    a = a.withColumn("__h", F.xxhash64(F.left(head, F.col("__n"))))
+    b = texts.select(text_key, text, F.explode(fits(text)).alias("__n"))
+    b = b.select(text_key, "__n", F.xxhash64(F.left(text, F.col("__n"))).alias("__h"))
+    met = a.join(b, ["__n", "__h"]).select(head_key, head, text_key)
+    return met.join(texts.select(text_key, text), text_key).filter(F.startswith(text, head)).select(head_key, text_key)

@@ -93,6 +93,15 @@ def join_10(spark: SparkSession, d: str) -> DataFrame:
     return a.join(once(spark, d, head=F.left("best_essay", F.lit(60))), "head").select("log_id", "pair_id")
 
 
+@query("join_10_logged_prefix", f"select l.log_id, p.pair_id from {LOG_ONCE_SQL} l join {ONCE_SQL} p on starts_with(p.best_essay, left(l.essay, 500)) where regexp_matches(l.essay, '[^ \\t\\n\\r\\f]')")
+def join_10_logged(spark: SparkSession, d: str) -> DataFrame:
+    """Logged essays, of which 500 characters count, with the pairs whose essay starts with them; blank ones meet none."""
+    return J.starting_with(
+        log_once(spark, d, head=F.left("essay", F.lit(500))).filter(F.col("head").rlike("[^ \\t\\n\\r\\f]")), "log_id", "head",
+        once(spark, d, text=F.left("best_essay", F.lit(500))), "pair_id", "text", 500,
+    )
+
+
 @query("join_11_fill_missing", "select d.doc_id, coalesce(d.slop_score, t.s) as slop_score from documents d left join (select topic, max(slop_score) as s from topic_sources where topic is not null group by topic) t using (topic)")
 def join_11(spark: SparkSession, d: str) -> DataFrame:
     best = table(spark, d, "topic_sources").filter("topic IS NOT NULL").groupBy("topic").agg(F.max("slop_score").alias("slop_score"))

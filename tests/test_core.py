@@ -105,6 +105,18 @@ def test_tfidf_queries_keep_the_whole_vocabulary(spark, monkeypatch, tmp_path, n
     assert sizes == [3000 + 50 * 59]
 
 
+def test_logged_prefix_takes_500_characters(spark, tmp_path):
+    import __spark_entry__ as entry_module
+
+    same, long = "An opening that many essays share, word for word, for sixty characters. ", "x" * 480
+    pairs = [(1, same + "One."), (2, same + "Two."), (3, long + "a" * 40), (4, long + "a" * 10 + "b" * 30), (5, ""), (6, None), (7, " ")]
+    log = [(1, same + "One."), (2, same), (3, long + "a" * 20 + "z"), (4, ""), (5, " "), (6, None), (7, "A")]
+    spark.createDataFrame(pairs, "pair_id long, best_essay string").write.parquet(str(tmp_path / "prompt_pairs.parquet"))
+    spark.createDataFrame(log, "log_id long, essay string").write.parquet(str(tmp_path / "essay_log.parquet"))
+    got = {tuple(r) for r in entry_module.queries()["join_10_logged_prefix"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (2, 1), (2, 2), (3, 3), (7, 1), (7, 2)}
+
+
 def test_python_agrees_with_columns(spark):
     texts = [t for t in EDGES if t is not None] + ["The the quick brown fox, the quick brown fox. It ran; it ran!"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
