@@ -353,6 +353,16 @@ def arr_02(spark: SparkSession, d: str) -> DataFrame:
     return e.select("example_id", F.array_join(A.pad(F.col("labels"), 64, A.IGNORE), " ").alias("labels"), F.least(F.lit(64), F.size("labels")).cast("long").alias("used"))
 
 
+@query("arr_02_padded_label_chunks", """with t as (select example_id, labels, unnest(range(0, case when len(labels) <= 64 then 1 else cast(ceil((len(labels) - 64) / 32.0) as bigint) + 1 end)) as i from slop_examples where len(labels) > 0)
+ select example_id, cast(i as int) as i, array_to_string((labels[i * 32 + 1 : i * 32 + 64] || [-100 for x in range(0, 64)])[1:64], ' ') as labels, rpad(repeat('1', cast(least(64, len(labels) - i * 32) as bigint)), 64, '0') as mask from t""")
+def arr_02_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All labels of an example: chunks of 64 every 32, the last one padded, with a mask of what isn't padding."""
+    e = table(spark, d, "slop_examples").filter(F.size("labels") > 0)
+    e = e.select("example_id", F.posexplode(A.chunks(F.col("labels"), 64, 32)).alias("i", "c")).withColumn("c", F.col("c").cast("array<int>"))
+    mask = A.pad(F.transform("c", lambda _: F.lit(1)), 64, 0)
+    return e.select("example_id", "i", F.array_join(A.pad(F.col("c"), 64, A.IGNORE), " ").alias("labels"), F.array_join(mask, "").alias("mask"))
+
+
 @query("arr_03_capped_windows", f"select doc_id, count(*) as windows from {CHUNK_SQL} where i < 3 group by doc_id")
 def arr_03(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.explode(A.chunks(F.col("w"), 100, 50, 3)).alias("c")).groupBy("doc_id").agg(F.count("*").alias("windows"))

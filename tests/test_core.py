@@ -117,6 +117,20 @@ def test_logged_prefix_takes_500_characters(spark, tmp_path):
     assert got == {(1, 1), (2, 1), (2, 2), (3, 3), (7, 1), (7, 2)}
 
 
+def test_label_chunks_keep_all_labels(spark, tmp_path):
+    import __spark_entry__ as entry_module
+
+    lengths = {1: 0, 2: 1, 3: 64, 4: 65, 5: 96, 6: 97, 7: 300}
+    rows = [(k, list(range(n))) for k, n in lengths.items()] + [(8, None)]
+    spark.createDataFrame(rows, "example_id long, labels array<int>").write.parquet(str(tmp_path / "slop_examples.parquet"))
+    kept = {k: set() for k in lengths}
+    for r in entry_module.queries()["arr_02_padded_label_chunks"](spark, str(tmp_path)).collect():
+        labels = r["labels"].split(" ")
+        assert len(labels) == len(r["mask"]) == 64 and all((x == "-100") == (m == "0") for x, m in zip(labels, r["mask"]))
+        kept[r["example_id"]] |= {int(x) for x, m in zip(labels, r["mask"]) if m == "1"}
+    assert kept == {k: set(range(n)) for k, n in lengths.items()}
+
+
 def test_python_agrees_with_columns(spark):
     texts = [t for t in EDGES if t is not None] + ["The the quick brown fox, the quick brown fox. It ran; it ran!"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
