@@ -77,7 +77,7 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """Per record its class of equal word sets and the number of other classes near it."""
     members, links = _p2(spark, d)
     ends = links.select("part", F.explode(F.array("a", "b")).alias("class_id")).groupBy("part", "class_id").agg(F.count("*").alias("links"))
-    rows = members.join(ends, ["part", "class_id"], "left")
+    rows = members.join(ends.hint("merge"), ["part", "class_id"], "left")
     return rows.select(_field_name(), F.col("key").alias("pair_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -129,15 +129,7 @@ def test_near_duplicates_against_brute_force(spark):
     got = {(r["key_a"], r["key_b"]) for r in neardup.expand_pairs(members, links).collect()}
     sets = {k: set(re.findall(r"[^\W_]+", (t or "").lower())) for k, t in rows}
     sets = {k: s for k, s in sets.items() if len(s) >= 25}
-    want, certain = set(), set()
-    for a, b in itertools.combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if len(x & y) >= 0.7 * len(x | y) - 1e-9:
-            want.add((a, b))
-            if len(x ^ y) <= 2 * neardup.MAX_BLOCKS - 1:
-                certain.add((a, b))
-    assert got <= want and certain <= got
-    assert len(got) >= 0.97 * len(want)
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) - 1e-9}
 
 
 def test_near_duplicates_of_large_sets_at_the_threshold(spark):
@@ -162,9 +154,40 @@ def test_near_duplicates_of_nothing(spark):
     assert members.count() == 0 and links.count() == 0
 
 
-def test_blocks_reach_the_bound_for_small_sets():
-    for n in range(25, 44):
-        assert 2 * neardup.blocks_for(n, 0.7) - 1 >= int(2 * n * 0.3 / 1.7)
+def _indexed_pairs(sets, similarity, hot=neardup.HOT):
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    words = np.concatenate([np.sort(np.array(list(x), dtype=np.uint64).view(np.int64)).view(np.uint64) for x in sets])
+    counts = neardup.block_counts(words, sizes, similarity)
+    rows = neardup.sketch_keys(np.arange(len(sets)), np.zeros(len(sets), dtype=np.int32), words, sizes, similarity, counts, hot)
+    cells = {}
+    for cell, i in zip(rows["cell"].tolist(), rows["id"].tolist()):
+        cells.setdefault(cell, set()).add(i)
+    return cells, {p for ids in cells.values() for p in itertools.combinations(sorted(ids), 2)}
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.54, 0.6, 0.7, 0.8, 0.95])
+@pytest.mark.parametrize("n", [1, 2, 5, 9, 25, 43, 63, 90, 120, 200, 700])
+def test_index_finds_every_pair_at_the_threshold(n, similarity):
+    """Recall 1 for sets of every size, equal or unequal, whether blocks are split or not."""
+    rng = np.random.default_rng(n)
+    sets, want = [], set()
+    for k in range(40):
+        words = rng.integers(1, 2**63, 3 * n + 3, dtype=np.uint64).tolist()
+        m = int(rng.integers(int(np.ceil(n * similarity)), n + 1))
+        both = int(np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9))
+        sets += [words[:n], words[n - both : n - both + m]]
+        want.add((2 * k, 2 * k + 1))
+    for hot in (neardup.HOT, 1):
+        assert want <= _indexed_pairs(sets, similarity, hot)[1]
+
+
+def test_hot_blocks_are_split_and_lose_no_pair():
+    rng = np.random.default_rng(4)
+    same = rng.integers(1, 2**63, 40, dtype=np.uint64).tolist()
+    sets = [[*same, *rng.integers(1, 2**63, 4, dtype=np.uint64).tolist()] for _ in range(300)]
+    whole, pairs_whole = _indexed_pairs(sets, 0.7)
+    parts, pairs_split = _indexed_pairs(sets, 0.7, 60)
+    assert pairs_whole == pairs_split and max(map(len, parts.values())) < 0.7 * max(map(len, whole.values()))
 
 
 # ---- truncation --------------------------------------------------------------------------------
