@@ -239,10 +239,10 @@ def near_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     # a pair in the band above needs one set of that band; equal blocks lie among the first size - (3 * shared - 1 - total)
     near = f"""i < j AND (m & n & {1 << 48}L) = 0 AND {shared} <= least({size("m")}, {size("n")})
         AND bit_count(x0 ^ y0) + bit_count(x1 ^ y1) <= {total} - 2 * {shared}
-        AND ((m & {1 << 47}L) <> 0 OR ({rank("m")} < {size("m")} - (3 * {shared} - 1 - {total}) AND {rank("n")} < {size("n")} - (3 * {shared} - 1 - {total})))
-        AND shiftright(m, 49) = shiftright(n, 49)"""
+        AND ((m & {1 << 47}L) <> 0 OR ({rank("m")} < {size("m")} - (3 * {shared} - 1 - {total}) AND {rank("n")} < {size("n")} - (3 * {shared} - 1 - {total})))"""
+    # both sides ask the same of their rows (cells hold the part, and coalesce lets no filter be inferred), so one shuffle serves both
     met = side("i", "m", "x").join(side("j", "n", "y").hint("merge"), "cell").filter(near)
-    candidates = met.select(F.expr("shiftright(m, 49)").cast("int").alias("part"), F.col("i").alias("a"), F.col("j").alias("b")).distinct()
+    candidates = met.select(F.expr("coalesce(cast(shiftright(m, 49) as int), 0)").alias("part"), F.col("i").alias("a"), F.col("j").alias("b")).distinct()
     left = sets.select("part", F.col("id").alias("a"), F.col("words").alias("wa"))
     right = sets.select("part", F.col("id").alias("b"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
