@@ -91,7 +91,7 @@ def _p3_essays(spark: SparkSession, d: str) -> DataFrame:
     essays = table(spark, d, "prompt_pairs").select("pair_id", "topic", "topic_source", "best_essay", _copied("best_essay", "output_prompt").alias("copied"))
     closed = durable(truncation.closings(essays, "pair_id", "best_essay", "topic", ["topic_source", "copied"]))
     verdict = truncation.judge(closed, "pair_id")
-    return closed.select("pair_id", "topic_source", "copied").join(verdict, "pair_id").withColumn("unfinished", F.col("unfinished") & ~F.col("copied"))
+    return closed.select("pair_id", "topic_source", "copied").join(verdict.hint("merge"), "pair_id").withColumn("unfinished", F.col("unfinished") & ~F.col("copied"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +105,11 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("rate", F.round(F.col("unfinished") / F.col("essays"), 6))
 
 
+def p3_deciders(spark: SparkSession, d: str) -> DataFrame:
+    """Per decider and what alignment shows (cut, whole or nothing): essays and unfinished essays."""
+    return _p3_essays(spark, d).groupBy("decider", "aligned").agg(F.count("*").alias("essays"), F.count_if("unfinished").alias("unfinished"))
+
+
 def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "slop_examples").select(F.lit("slop_text").alias("field_name"), F.col("example_id").alias("key"), "text")
     b = table(spark, d, "prompt_pairs").select(F.lit("best_essay").alias("field_name"), F.col("pair_id").alias("key"), F.col("best_essay").alias("text"))
@@ -133,9 +138,9 @@ def _p5_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     )
     t = t.select("pair_id", "topic", F.explode(both).alias("x")).select(F.struct("pair_id", "x.field_name").alias("k"), "topic", "x.question", F.col("x.answer").alias("text"))
     closed = durable(truncation.closings_of(t, "text", "topic"))
-    verdict = truncation.judge(closed, "k", copies=False).select("k", F.col("unfinished").alias("broken"))
+    verdict = truncation.judge(closed, "k").select("k", F.col("unfinished").alias("broken"))
     columns = ["k.pair_id", "k.field_name", "question", F.col("text").alias("answer")]
-    return closed.join(verdict, "k").select(*columns, "broken"), closed.select(*columns)
+    return closed.join(verdict.hint("merge"), "k").select(*columns, "broken"), closed.select(*columns)
 
 
 def p5_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +196,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_mix, p1_shares, p1_token_shares, p1_supply, p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_tags, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates]
+    named = [p1_mix, p1_shares, p1_token_shares, p1_supply, p2_found, p2_classes, p3_found, p3_rates, p3_deciders, p4_found, p4_canonical, p5_found, p5_tags, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates]
     return {f.__name__: f for f in named}
 
 

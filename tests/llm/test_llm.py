@@ -233,6 +233,37 @@ def test_aligned_end_inside_a_word():
     assert truncation.aligned_end("nothing of it at all here and there", long) is None
 
 
+def test_alignment_decides_planted_cuts(spark):
+    """Texts that close like finished ones are found out by a copy that goes on, though it is neither alone nor the longest."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for g in range(12):
+        body = " ".join(f"Word{rng.randrange(10**6)} is {rng.choice(['near', 'by'])} mill{rng.randrange(10**6)}." for _ in range(30))
+        tail = f" It costs approx. {g} coins and the bridge stands."
+        more = " The river was wide. Nobody knew it."
+        k = g * 10
+        rows += [(k, body + tail), (k + 1, body + " It costs approx."), (k + 2, body), (k + 3, body + tail + more), (k + 4, body + tail[: tail.index("coins") + 2])]
+        rows += [(k + 5, body + " Another closing was written here, and it is longer than the others by some words of its own.")]
+        rows += [(k + 6, body + " It costs approx.")]  # an exact copy
+        want |= {k: "whole", k + 1: "cut", k + 2: "whole", k + 3: None, k + 4: "cut", k + 5: None, k + 6: "cut"}
+    base = " ".join(f"Tree{i} grew." for i in range(60))
+    hot = [(1000 + i, f"{base} Leaf{i} fell. Then came the end of all.") for i in range(150)]  # near-copies of each other, all finished
+    hot += [(1200 + i, f"{base} Leaf{i} fell. Then came the") for i in range(20)]
+    df = spark.createDataFrame(rows + hot, "k long, t string").withColumn("digest", F.lit("clash"))
+    closed = truncation.closings(df.drop("digest"), "k", "t").cache()
+    got = {r["k"]: r for r in truncation.judge(closed, "k").collect()}
+    assert {k: got[k]["aligned"] for k in want} == want
+    assert all(got[k]["unfinished"] and got[k]["decider"] == "alignment" for k, v in want.items() if v == "cut")
+    assert all(not got[k]["unfinished"] for k, v in want.items() if v != "cut")
+    assert all(got[k]["aligned"] == ("cut" if k >= 1200 else None) for k, _ in hot)
+
+
+def test_placeholders_of_any_length():
+    for n in (0, 20, 220, 3000):
+        assert truncation.is_placeholder("null" + "-" * n) and truncation.is_placeholder("-" * n + " n/a ")
+    assert not truncation.is_placeholder("-" * 300 + "a sentence that is longer than any placeholder is")
+
+
 # ---- canonical text ----------------------------------------------------------------------------
 
 
