@@ -127,26 +127,19 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return p4_texts(spark, d).dropDuplicates(["field_name", "key"]).select("field_name", "key", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-def _p5_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """((pair_id, field_name, question, answer, broken), one row per answer; the durable table of questions and answers)."""
-    t = table(spark, d, "prompt_pairs").select("pair_id", "topic", "input_prompt", "output_prompt", "best_essay").dropDuplicates(["pair_id"])
-    for c in ("input_prompt", "output_prompt", "best_essay"):
-        t = t.withColumn(c, canonical.screen_key_text(F.col(c)))
-    both = F.array(
-        F.struct(F.lit("output_prompt").alias("field_name"), F.col("input_prompt").alias("question"), F.col("output_prompt").alias("answer")),
-        F.struct(F.lit("best_essay").alias("field_name"), F.col("output_prompt").alias("question"), F.col("best_essay").alias("answer")),
-    )
-    t = t.select("pair_id", "topic", F.explode(both).alias("x")).select(F.struct("pair_id", "x.field_name").alias("k"), "topic", "x.question", F.col("x.answer").alias("text"))
-    closed = durable(truncation.closings_of(t, "text", "topic"))
-    verdict = truncation.judge(closed, "k").select("k", F.col("unfinished").alias("broken"))
-    columns = ["k.pair_id", "k.field_name", "question", F.col("text").alias("answer")]
-    return closed.join(verdict.hint("merge"), "k").select(*columns, "broken"), closed.select(*columns)
-
-
 def p5_tags(spark: SparkSession, d: str) -> DataFrame:
     """Every answer with its defect, if any, and the share of it that each tag covers."""
-    answers, source = _p5_pairs(spark, d)
-    return pairs.pair_defects(answers, "pair_id", "field_name", "question", "answer", "broken", source)
+    fields = ["input_prompt", "output_prompt", "best_essay"]
+    t = table(spark, d, "prompt_pairs").select("pair_id", "topic", *fields).dropDuplicates(["pair_id"])
+    t = t.withColumns({c: canonical.screen_key_text(F.col(c)) for c in fields})
+    for c in fields[1:]:
+        t = truncation.closings_of(t, c, "topic").withColumn(f"end_{c}", F.struct("state", "word", "digest")).drop("state", "word", "digest")
+    t = durable(t.drop("topic"))
+    answers = [F.struct(F.lit(c).alias("field"), F.col(c).alias("text"), F.col(f"end_{c}").alias("end")) for c in fields[1:]]
+    closed = t.select("pair_id", F.explode(F.array(*answers)).alias("x")).select(F.struct("pair_id", "x.field").alias("k"), "x.text", "x.end.*")
+    broken = truncation.judge(closed, "k").filter("unfinished").groupBy("k.pair_id").agg(F.collect_set("k.field").alias("broken"))
+    chains = truncation.attach(t, broken, "pair_id").withColumns({f"broken_{c}": F.coalesce(F.array_contains("broken", c), F.lit(False)) for c in fields[1:]})
+    return pairs.pair_defects(chains, "pair_id", fields, [f"broken_{c}" for c in fields[1:]]).withColumnRenamed("field", "field_name")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -337,11 +337,30 @@ def model():
 
 
 def test_pair_table_edges(spark):
-    rows = [(1, "f", QUESTION, ANSWER, False), (2, "f", None, None, None), (3, "f", "", "", False), (4, "f", QUESTION, LONG, False)]
-    df = spark.createDataFrame(rows, "k long, field string, q string, a string, broken boolean")
-    got = {r["k"]: r["defect"] for r in pairs.pair_defects(df, "k", "field", "q", "a", "broken").collect()}
-    assert got[2] == got[3] == "empty" and len(got) == 4
-    assert pairs.pair_defects(df.limit(0), "k", "field", "q", "a", "broken").count() == 0
+    rows = [(1, QUESTION, ANSWER, ANSWER, False), (2, None, None, None, None), (3, "", "", "", False), (4, QUESTION, LONG, None, False)]
+    df = spark.createDataFrame(rows, "k long, q string, a string, b string, cut boolean").withColumn("field", F.lit("clash"))
+    got = {(r["k"], r["field"]): r["defect"] for r in pairs.pair_defects(df, "k", ["q", "a", "b"], ["cut", "cut"]).collect()}
+    assert all(got[k, f] == "empty" for k in (2, 3) for f in "ab") and got[4, "b"] == "empty" and len(got) == 8
+    assert pairs.pair_defects(df.limit(0), "k", ["q", "a", "b"], ["cut", "cut"]).count() == 0
+
+
+def test_question_that_declines_whatever_its_length():
+    """An answer in another language is no defect behind a refusal, read by the field and not by its length."""
+    no = "I'm sorry, but I can't write this essay. " + " ".join(f"If you like, I can write about the {w} and the mill by the river instead." for w in ("garden", "bridge", "tower", "field", "road", "house"))
+    german = "Der Fluss ist breit und die Brücke ist alt. Wir gingen am Abend an ihm entlang. Jedes Haus hat einen Garten und man sieht es."
+    first, second = (r[0] for r in pairs.tag_chain(model(), [[pairs.Reading(QUESTION)], [pairs.Reading(no)], [pairs.Reading(german)]], [[False], [False]]))
+    assert first[0] == "refusal" and second[0] is None
+    assert pairs.tag_batch(model(), [(no, german, False)])[0][0] is None
+    assert pairs.tag_batch(model(), [(QUESTION, QUESTION, False)])[0][0] == "copy"
+    assert pairs.tag_batch(model(), [(QUESTION, german, False)])[0][0] == "language"
+
+
+def test_clauses_far_into_a_text_are_learned():
+    f = [[0, 1]] * 60
+    x, lengths = pairs.pad([f[:24], f[24:48], f[48:]], pairs.WIDTH)
+    x[x < 0] = pairs.FEATURES
+    fitted = pairs.CRF(pairs.FEATURES, 2).fit(x, lengths, np.zeros(x.shape[:2], dtype=np.int32), np.array([True, False, False]))
+    assert (fitted.decode(x, lengths)[0] == 0).all()
 
 
 # ---- tokens ------------------------------------------------------------------------------------
