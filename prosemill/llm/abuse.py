@@ -2,7 +2,7 @@
 
 A factorization machine scores sentences over hashed terms: words, pairs of
 neighbouring words and classes of words (insults, groups of people, second
-person, sexual terms, reporting words). Its pairwise part learns what additive
+person, sexual terms, violence). Its pairwise part learns what additive
 weights miss: an insult is harmless next to "the word ... once named" and not
 next to "you"; a group is harmless unless it meets "vermin". A document's score
 is that of its worst sentence.
@@ -10,11 +10,11 @@ is that of its worst sentence.
 Labels are per document and a few are wrong, so training alternates: the
 sentences that the present machine finds worst stand for a positive document,
 every sentence of a negative one is negative; documents that the fitted machine
-contradicts strongly are set aside. A few written sentences keep small label
-sets from starting blind. The labelled sample is bounded (``MAX_LABELLED``
-documents, drawn by hash, and ``MAX_SENTENCES`` of the plain sentences of
-negative documents, weighted for those left out); all documents are
-scored over their whole text.
+contradicts strongly are set aside. Nothing but the labels teaches it: there
+are no written examples. The labelled sample is bounded (``most_positive`` and
+``most_negative`` documents, drawn by hash, and ``most_sentences`` of the plain
+sentences of negative documents, weighted for those left out); all documents
+are scored over their whole text.
 
 Texts are folded to canonical form, lower case and base letters in whole
 batches of code points; words are hashed by segment sums. Disguised spellings
@@ -41,59 +41,26 @@ from pyspark.sql import functions as F
 from prosemill.llm.canonical import Batch, canonicalize, slices
 
 DIM, FACTORS = 1 << 17, 6
-MAX_LABELLED, MAX_SENTENCES = 8000, 24000
+MOST_POSITIVE, MOST_NEGATIVE, MOST_SENTENCES = 4000, 8000, 24000  # bounds of the training sample
 LEAST_CUT, USUAL_CUT, MOST_CUT = 0.03, 0.1, 0.3  # range of the threshold that training finds
 
-# Word classes, in base letters.
+# Word classes of general dictionaries, in base letters. They are features, and the labels decide what they weigh.
 CLASSES = {
-    "insult": """idiot idiots moron morons imbecile imbeciles cretin cretins jackass halfwit halfwits dimwit dimwits bastard bastards bitch whore slut scum
-        asshole assholes prick dumbass loser clown coward cowards pig swine filth parasite parasites vermin trash garbage subhuman subhumans worthless pathetic
-        spineless brainless useless stupid disgusting retard shitty fucking goddamn wanker twat cunt dreckskerl idioten vollidiot schwachkopf penner arschloch
-        arschlocher hurensohn schlampe miststuck abschaum dreck ungeziefer untermenschen wichser drecksau connard connards salope salaud raclure batard ordure
-        ordures abruti cretine imbeciles debile pute merde vermine cabron cabrones mierda imbecil gilipollas puta zorra escoria basura maldito maldita idiota
-        idiotas hijo alimanas cerdo cerdos""",
-    "sexual": """cock cocks pussy tits ass dick dicks nude nudes naked sex sexual sucked fuck fucked fucking cum orgasm porn lover moaning groaning undressed
-        nipples horny erotic blowjob jerked fickte ficken gefickt nackt schwanz titten muschi nackte bite chatte baise baisa nue nues seins queue desnudo desnuda
-        desnudo follo follar polla tetas cono desnudas orgia""",
-    "violence": """kill killed die beat beaten kick kicked hit punch stab burn burned choke hang shoot smash break spit crawl rot disappear schlage schlagen
-        verrecken verrecke ersticken umbringen totschlagen creve crever casse casser tuer frapper pudras muere matar golpear romper reviente ahorcar""",
-    "people": """women men foreigners immigrants refugees migrants newcomers strangers peasants pensioners unbelievers believers southerners northerners easterners
-        westerners islanders outsiders muslims jews christians blacks whites gays natives gypsies auslander fluchtlinge frauen manner zuwanderer fremde unglaubige
-        etrangers immigres refugies femmes hommes mecreants extranjeros inmigrantes refugiados mujeres hombres infieles forasteros""",
+    "insult": """idiot idiots moron morons imbecile imbeciles cretin cretins jackass dimwit bastard bastards bitch whore slut scum asshole assholes prick
+        dumbass loser coward pig swine filth parasite parasites vermin trash garbage subhuman worthless pathetic stupid disgusting retard goddamn wanker twat cunt
+        idioten vollidiot schwachkopf arschloch arschlocher hurensohn schlampe miststuck abschaum dreck ungeziefer untermenschen wichser
+        connard connards salope salaud batard ordure ordures abruti debile pute merde vermine
+        cabron cabrones mierda imbecil gilipollas puta zorra escoria basura maldito idiota idiotas cerdo cerdos""",
+    "sexual": """cock pussy tits ass dick nude nudes naked sex sexual fuck fucked fucking cum orgasm porn nipples horny erotic blowjob
+        fickte ficken gefickt nackt schwanz titten muschi bite chatte baise baiser nue seins queue desnudo desnuda follar polla tetas cono""",
+    "violence": """kill killed die beat beaten kick hit punch stab burn burned choke hang shoot smash rot
+        schlagen verrecken umbringen totschlagen crever casser tuer frapper matar golpear ahorcar""",
+    "people": """women men foreigners immigrants refugees migrants muslims jews christians blacks whites gays natives gypsies
+        auslander fluchtlinge frauen manner zuwanderer etrangers immigres refugies femmes hommes extranjeros inmigrantes refugiados mujeres hombres""",
     "you": "you your yours u du dich dir dein deine deinen deinem ihr euch euer tu te toi ton ta tes vous votre vos tus ti usted ustedes eres vosotros",
-    "report": """word words term says said named called report reports reported survey paper study studies researchers moderators removed remove posts class statue
-        litter animal beetle species sealed sorted doctor doctors patients patient clinic health medical court judge history dictionary means meaning quoted museum
-        process mistake himself myself wort begriff bericht studie klasse arzt gericht mot terme rapport etude medecin palabra termino informe estudio medico""",
 }
 # Plain readings of signs that stand for letters.
 SIGNS = {"@": "a", "4": "a", "€": "e", "3": "e", "!": "i", "1": "il", "|": "il", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z"}
-# Written sentences for training, harmful and harmless.
-HARMFUL = [
-    "You are a stupid idiot and everyone knows it.", "Shut your mouth, you worthless moron.", "Only a pathetic clown like you would write that.",
-    "People like you should be beaten.", "I will find you and break your teeth.", "Do us all a favor and die.", "I hope you choke on it, bastard.",
-    "Immigrants are vermin and should be thrown out.", "Women are good for nothing but serving men.", "Those foreigners breed like rats.",
-    "We do not need refugees here, they are trash.", "Strangers are born thieves and liars, all of them.", "The only good migrants are the dead ones.",
-    "Whenever I see women I want to smash their faces.", "Lock up the men and the town would be clean.", "Someone should teach the natives their place.",
-    "Your family should be ashamed that you were born.", "Nobody would miss you if you disappeared.", "I know where you live and I am coming for you tonight.",
-    "Whoever wrote this is a goddamn moron.", "All of them are spineless scum and I spit on them.", "What a disgrace of a human being you are.",
-    "Crawl back to your hole, cretin.", "The video shows two strangers having sex in detail.", "He touched himself to pictures of naked dancers.",
-    "On your knees, mouth open, and do everything I say.", "She and her lover did it three times that night, moaning.", "He fucked her against the wall all night.", "She sucked his cock until he came.",
-    "Send me nudes, I want to see your tits.", "Her wet pussy was all he wanted.", "He undressed her and his tongue moved lower.",
-    "Du bist ein Vollidiot und alle wissen es.", "Halt die Fresse, du Arschloch.", "Ausländer sind Ungeziefer und müssen raus.", "Er fickte sie die ganze Nacht.",
-    "Ferme ta gueule, connard.", "Tu es une ordure et tout le monde le sait.", "Les étrangers sont de la vermine.", "Il la baisa toute la nuit.",
-    "Cállate, imbécil de mierda.", "Eres una basura, cabrón.", "Los extranjeros son escoria.", "Se la folló toda la noche.",
-]
-HARMLESS = [
-    "The word idiot comes from Greek.", "The word \"bitch\" is defined in the dictionary.", "A bitch and her puppies slept in the barn.", "The cock crowed at dawn.",
-    "The survey asked adults about sexual health.", "Researchers study the sex of beetles.", "To stop the program, kill the process.", "The trash was burned and the garbage sorted.",
-    "He called himself a loser and laughed.", "It was a stupid mistake of mine.", "Moderators remove posts that call people vermin.", "The naked eye can see the star.",
-    "The class drew a nude statue.", "Rats and cockroaches lived in the cellar.", "The doctor examined the breast of the patient.", "You are a helpful writer of essays.",
-    "You should read the letter before you answer.", "The refugees were welcomed by the women of the town.", "The court heard that he called her a whore.", "Your answer was kind and clear.", "The law protects refugees, women and believers alike.", "Smith was born in a small town.", "We do not need a car here.",
-    "He fell on his knees and prayed.", "The pictures show dancers on a stage.", "The film shows two strangers on a train.", "Nobody missed the train that night.",
-    "Das Wort Idiot steht im Wörterbuch.", "Die Ratten lebten im Keller.", "Du hast einen schönen Garten.", "Le mot idiot vient du grec.", "Tu as un beau jardin.",
-    "La palabra idiota viene del griego.", "Tienes un jardín bonito.", "Las mujeres y los hombres trabajan en el molino.",
-]
-
 
 @lru_cache(maxsize=1)
 def fold_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +109,18 @@ def class_table() -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in found], dtype=np.uint64), np.array([i for _, i in found])
 
 
+@lru_cache(maxsize=1)
+def listed_words() -> dict[int, set[str]]:
+    """The listed words by length."""
+    found: dict[int, set[str]] = {}
+    for ws in CLASSES.values():
+        for w in ws.split():
+            found.setdefault(len(w), set()).add(w)
+    return found
+
+
 CLASS_HASH = [np.uint64(0x1234567 + 7919 * i) for i in range(len(CLASSES))]
+PRIOR = {"insult": 3.0, "sexual": 2.0}  # where training starts from: such words are a sign until the labels say otherwise
 MASKED_HASH, DISGUISED_HASH = np.uint64(0xABCDEF01), np.uint64(0xABCDEF77)
 
 
@@ -159,9 +137,13 @@ def readings(token: str) -> tuple[list[str], bool]:
         t = "".join(parts)
         out.add(t)
     letters = sum(c.isalpha() for c in t)
-    if letters and any(c in SIGNS for c in t) and len(t) <= 40:
+    if letters and any(c in SIGNS for c in t):
         spots = [SIGNS.get(c, c) for c in t]
-        out |= {"".join(x) for x in itertools.islice(itertools.product(*spots), 8)}
+        if sum(len(x) > 1 for x in spots) <= 3:
+            out |= {"".join(x) for x in itertools.product(*spots)}
+        else:  # too many to spell out: the two plainest, and the listed words among all of them
+            out |= {"".join(x[0] for x in spots), "".join(x[-1] for x in spots)}
+            out |= {w for w in listed_words().get(len(t), ()) if all(c in x for c, x in zip(w, spots))}
     for x in [*out, t]:
         if re.search(r"([a-z])\1\1", x):
             out |= {re.sub(r"([a-z])\1{2,}", r"\1", x), re.sub(r"([a-z])\1{2,}", r"\1\1", x)}
@@ -247,7 +229,6 @@ class Sentences:
         count = lambda m: np.add.reduceat(m.astype(np.int32), begin)
         letters, signs, runs = count(letter), count(sign), count(run)
         dots = count((cps == 0x2E) | (cps == 0x5F) | (cps == 0x2D))
-        length = end - begin
         odd = (letters > 0) & ((signs > 0) | (runs > 0) | (dots >= 2) & (letters >= 3) & (letters <= dots + 1))
         out: list[tuple[np.uint64, int]] = []
 
@@ -260,16 +241,16 @@ class Sentences:
             if plain:
                 out.append((DISGUISED_HASH, where))
 
-        for i in np.flatnonzero(odd & (length <= 64)):
+        for i in np.flatnonzero(odd):
             add("".join(map(chr, low[begin[i] : end[i]])), int(sentence[begin[i]]))
-        single = (letters == 1) & (length == 1)
-        if single.any():  # letters set apart by spaces
+        single = (letters == 1) & (count(word) == 1)
+        if single.any():  # letters set apart by spaces, marks beside them or not
             at = np.flatnonzero(single)
             group = np.concatenate([[0], np.cumsum((np.diff(at) > 1) | (sentence[begin[at[1:]]] != sentence[begin[at[:-1]]]))])
             sizes = np.bincount(group)
             for g in np.flatnonzero(sizes >= 4):
                 mine = at[group == g]
-                plain = "".join(chr(low[begin[i]]) for i in mine)
+                plain = "".join(chr(low[begin[i] + int(letter[begin[i] : end[i]].argmax())]) for i in mine)
                 out += [(hash_word(plain), int(sentence[begin[mine[0]]])), (DISGUISED_HASH, int(sentence[begin[mine[0]]]))]
         return out
 
@@ -284,6 +265,8 @@ class FactorizationMachine:
         rng = np.random.default_rng(seed)
         self.bias = -4.0
         self.w = np.zeros(DIM, dtype=np.float32)
+        for name, weight in PRIOR.items():
+            self.w[int(CLASS_HASH[list(CLASSES).index(name)] % np.uint64(DIM))] = weight
         self.u = np.zeros(DIM, dtype=np.float32)  # of word pairs
         self.v = (rng.standard_normal((DIM, FACTORS)) * 0.05).astype(np.float32)
 
@@ -375,11 +358,10 @@ def _sentences(texts: list[str], labels: np.ndarray) -> tuple[Sentences, np.ndar
     return whole, np.concatenate(listed)
 
 
-def _fit(s: Sentences, y: np.ndarray, use: np.ndarray, written: np.ndarray, share: np.ndarray) -> FactorizationMachine:
+def _fit(s: Sentences, y: np.ndarray, use: np.ndarray, share: np.ndarray) -> FactorizationMachine:
     pos, neg = max(1.0, (y * share)[use].sum()), max(1.0, share[use & (y == 0)].sum())
-    weight = np.where(y == 1, min(30.0, max(1.0, 0.1 * neg / pos)), 1.0) * share * np.where(written, 2.0, 1.0)
-    part = select(s, use)
-    return FactorizationMachine().fit(part, y[use], weight[use])
+    weight = np.where(y == 1, min(30.0, max(1.0, 0.1 * neg / pos)), 1.0) * share
+    return FactorizationMachine().fit(select(s, use), y[use], weight[use])
 
 
 def _worst(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -388,60 +370,62 @@ def _worst(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
-def _clean_cut(positive: np.ndarray, negative: np.ndarray) -> float:
-    """The score with the best balance of positive against (threefold) negative documents above it."""
+def _clean_cut(positive: np.ndarray, negative: np.ndarray, each: float) -> float:
+    """The score with the best balance of positive against (threefold) negative documents above it; a negative one stands for each."""
     if not len(positive):
         return USUAL_CUT
     at = np.unique(np.concatenate([positive, [MOST_CUT]]))
-    gain = (positive[None] >= at[:, None]).sum(axis=1) - 3 * (negative[None] >= at[:, None]).sum(axis=1)
+    gain = (positive[None] >= at[:, None]).sum(axis=1) - 3 * each * (negative[None] >= at[:, None]).sum(axis=1)
     return float(np.clip(at[gain.argmax()] * 0.98, LEAST_CUT, 0.9))
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 3) -> FactorizationMachine:
+def train(texts: list[str], toxic: list[int], each: float = 1.0, rounds: int = 3, most_sentences: int = MOST_SENTENCES) -> FactorizationMachine:
     """A machine from document labels, with the threshold it should be used at (``cut``).
 
-    Sentence labels come from machines fitted on the other half of the
-    documents, so a mislabelled document can't vouch for itself: a sentence of
-    a positive document counts as harmful only if it scores where documents are
-    mostly labelled positive (see ``_clean_cut``).
+    A negative document stands for ``each`` of them. Sentence labels come from
+    machines fitted on the other half of the documents, so a mislabelled
+    document can't vouch for itself: a sentence of a positive document counts as
+    harmful only if it scores where documents are mostly labelled positive (see
+    ``_clean_cut``). ``held`` of the machine are the scores that documents got
+    from machines that hadn't seen them.
     """
-    written = [*HARMFUL, *HARMLESS]
-    labels = np.array([*toxic, *[1] * len(HARMFUL), *[0] * len(HARMLESS)])
-    s, listed = _sentences([*texts, *written], labels)
-    y_doc, sure = labels[s.doc], s.doc >= len(texts)
-    plain = np.random.default_rng(7).permutation(np.flatnonzero((y_doc == 0) & ~sure & ~listed))
-    pick = (y_doc == 1) | sure | listed
-    pick[plain[:MAX_SENTENCES]] = True
-    stands_for = np.where((y_doc == 0) & ~sure & ~listed, max(1.0, len(plain) / MAX_SENTENCES), 1.0)[pick]
+    labels = np.array(toxic, dtype=np.int64)
+    s, listed = _sentences(texts, labels)
+    y_doc = labels[s.doc]
+    plain = np.random.default_rng(7).permutation(np.flatnonzero((y_doc == 0) & ~listed))
+    pick = (y_doc == 1) | listed
+    pick[plain[:most_sentences]] = True
+    stands_for = (np.where((y_doc == 0) & ~listed, max(1.0, len(plain) / most_sentences), 1.0) * np.where(y_doc == 0, each, 1.0))[pick]
     s = select(s, pick)
-    y_doc, sure = labels[s.doc], s.doc >= len(texts)
+    y_doc = labels[s.doc]
     half = (s.doc * 7919 // 13) % 2
     # at first every sentence of a positive document stands for it, each with its share
     y, use = y_doc.astype(float), np.ones(len(s), dtype=bool)
-    share = np.where((y_doc == 1) & ~sure, 1 / np.maximum(1, np.bincount(s.doc, minlength=s.docs)[s.doc]), stands_for)
+    share = np.where(y_doc == 1, 1 / np.maximum(1, np.bincount(s.doc, minlength=s.docs)[s.doc]), stands_for)
     held = np.zeros(len(s))
     cuts = [0.05, 0.05]
-    for k in range(rounds):
+    for _ in range(rounds):
         for f in (0, 1):
-            machine = _fit(s, y, use & (sure | (half != f)), sure, share)
+            machine = _fit(s, y, use & (half != f), share)
             held[half == f] = machine.probabilities(select(s, half == f))
         share = stands_for
         best = _worst(held, s.doc, s.docs)
-        y, use = np.where(sure, y_doc, 0).astype(float), sure.copy()
+        y, use = np.zeros(len(s)), np.zeros(len(s), dtype=bool)
         for f in (0, 1):
-            mine = (half == f) & ~sure
+            mine = half == f
             calm, loud = np.unique(s.doc[mine & (y_doc == 0)]), np.unique(s.doc[mine & (y_doc == 1)])
-            cuts[f] = _clean_cut(best[loud], best[calm])
+            cuts[f] = _clean_cut(best[loud], best[calm], each)
             harmful = mine & (y_doc == 1) & (held > cuts[f])
             y[harmful], use[harmful] = 1, True
             use |= mine & (y_doc == 0) & (held < 0.9)
-    machine = _fit(s, y, use, sure, share)
+    machine = _fit(s, y, use, share)
     # between what nearly all negative documents stay below and what the harmful reach; few labels, near the usual place
-    found, calm = best[np.unique(s.doc[(y == 1) & ~sure])], np.unique(s.doc[(y_doc == 0) & ~sure])
+    found, calm = best[np.unique(s.doc[y == 1])], np.unique(s.doc[y_doc == 0])
     low = float(np.quantile(found, 0.02)) if len(found) else USUAL_CUT
     seen = np.sqrt(max(cuts) * max(low, max(cuts)))
     trust = len(calm) / (len(calm) + 1000)
     machine.cut = float(np.clip(np.exp(trust * np.log(seen) + (1 - trust) * np.log(USUAL_CUT)), LEAST_CUT, MOST_CUT))
+    machine.held = best
     return machine
 
 
@@ -458,17 +442,23 @@ def score_texts(machine: FactorizationMachine, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample, drawn by hash; its keys are few enough to broadcast."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> tuple[list[str], list[int], float]:
+    """(texts, labels, negative documents that each negative one stands for) of a bounded sample, drawn by hash.
+
+    Its keys are few enough to broadcast.
+    """
     order = F.xxhash64(F.lit(19), key)
-    ids = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label).orderBy(order).limit(MAX_LABELLED)
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label)
+    ids = known.filter(F.col(label) == 1).orderBy(order).limit(most_positive).unionByName(known.filter(F.col(label) == 0).orderBy(order).limit(most_negative))
+    negative = known.filter(F.col(label) == 0).count()
     rows = docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(ids), key).orderBy(order, text).select(text, label).collect()
-    return [r[0] for r in rows], [int(r[1]) for r in rows]
+    return [r[0] for r in rows], [int(r[1]) for r in rows], max(1.0, negative / most_negative)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, keep: list[str] | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, keep: list[str] | None = None, most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> DataFrame:
     """docs' key and kept columns with ``score`` (0..1) and ``flagged``."""
-    machine = train(*labelled_sample(docs, labels, key, text, label))
+    machine = train(*labelled_sample(docs, labels, key, text, label, most_positive, most_negative))
+    machine.held = None  # the tasks need no scores of the sample
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(machine)  # a fixed size, about 5 MB
 

@@ -488,6 +488,19 @@ def test_readings():
     assert abuse.readings("i***t")[1] and abuse.readings("house") == ([], False)
 
 
+def test_disguises_of_any_length():
+    def terms(text):
+        s = abuse.Sentences(pa.array([text]))
+        return set(s.terms[s.of == 0].tolist())
+
+    want = lambda w: int(abuse.hash_word(w) % np.uint64(abuse.DIM))
+    assert want("connard") in terms("c o n n a r d, dit il") and want("idiot") in terms("so i d i o t. Then")
+    assert want("idiot") in terms("1d1ooo" + "o" * 200 + "t")
+    assert len(abuse.readings("1mbec11e")[0]) == 8 and "imbecile" in abuse.readings("1mbec1|e")[0] and "assholes" in abuse.readings("@$$ho1e$")[0]
+    many = abuse.readings("1|1|1dio1")[0]  # too many ambiguous signs to spell out
+    assert {"iiiiidioi", "llllldiol"} <= set(many) and len(many) < 40
+
+
 def test_word_hash_is_that_of_the_arrays():
     s = abuse.Sentences(pa.array(["Idiot ÄRGER"]))
     assert s.terms[0] == int(abuse.hash_word("idiot") % np.uint64(abuse.DIM)) and s.terms[1] == int(abuse.hash_word("arger") % np.uint64(abuse.DIM))
