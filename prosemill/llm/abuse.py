@@ -23,7 +23,8 @@ masked by stars) are found by array tests; only those tokens are spelt out one
 by one, and their plain readings become further terms of their sentence.
 
 Defined results: null, empty and wordless texts score 0 and are not flagged;
-equal texts get equal scores; repeated rows are scored each.
+equal texts get equal scores; repeated rows are scored each; without any
+labelled document only texts with several listed words can be flagged.
 """
 
 from __future__ import annotations
@@ -389,6 +390,10 @@ def train(texts: list[str], toxic: list[int], each: float = 1.0, rounds: int = 3
     ``_clean_cut``). ``held`` of the machine are the scores that documents got
     from machines that hadn't seen them.
     """
+    if not texts:  # nothing to learn from: the starting weights, at the highest threshold
+        machine = FactorizationMachine()
+        machine.cut, machine.held = MOST_CUT, np.zeros(0)
+        return machine
     labels = np.array(toxic, dtype=np.int64)
     s, listed = _sentences(texts, labels)
     y_doc = labels[s.doc]
