@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,12 +79,12 @@ def test_self_bleu_takes_all_texts(spark):
     import random
 
     rng = random.Random(4)
-    rows = [(i, rng.choice(["a", "b", None]), " ".join(rng.choices(["the", "a", "mill", "near", "ran", "it", "of"], k=rng.choice([0, 2, 3, 9, 30])))) for i in range(150)]
+    rows = [(i, rng.choice(["a", "b", None]), " ".join(rng.choices(["the", "a", "mill", "near", "ran", "it", "of", "Mill,", "a-b"], k=rng.choice([0, 2, 3, 9, 30])))) for i in range(150)]
     rows += [(200, "single", "one text"), (201, "a", None), (202, "a", "none shared"), (203, "far", "x y"), (204, "far", "z")]
     got = {r["g"]: r["self_bleu"] for r in U.self_bleu(spark.createDataFrame(rows, "k long, g string, t string"), "g", "t", "k").collect()}
     for g in ("a", "b", None):
-        ws = [t.split() for _, x, t in rows if x == g and t is not None]
-        values = [U.bleu(c, ws[:i] + ws[i + 1 :]) if set(c) & set(sum(ws[:i] + ws[i + 1 :], [])) else 0.0 for i, c in enumerate(ws)]
+        ws = [re.findall(r"\w+", t.lower()) for _, x, t in rows if x == g and t is not None]
+        values = [U.bleu(c, ws[:i] + ws[i + 1 :]) for i, c in enumerate(ws)]
         assert got[g] == pytest.approx(sum(values) / len(values))
     assert got["single"] != got["single"] and got["far"] == 0
 
@@ -165,7 +167,49 @@ def test_clean_output():
     assert U.clean_output("too short") is None and U.clean_output(None) is None
 
 
+def _spans_by_definition(text, phrases, window=10, least=0.5):
+    """Every start and end tried one by one."""
+    ws, low = text.split(), text.lower()
+    joined = [len(" ".join(ws[:k])) for k in range(len(ws) + 1)]
+    want = {(i, i + len(p)) for p in phrases for i in range(len(low)) if low[i : i + len(p)] == p.lower()}
+    for i in range(len(ws)):
+        for j in range(i + 2, len(ws) + 1):
+            run = {w.lower() for w in ws[i:j]}
+            wider = (i > 0 and ws[i - 1].lower() in run) or (j < len(ws) and ws[j].lower() in run)
+            if len(run) == 1 and not wider:
+                want.add((joined[i], min(joined[j], len(text))))
+    for i in range(len(ws) - window + 1):
+        part = [w.lower() for w in ws[i : i + window]]
+        if len(set(zip(part, part[1:]))) / (window - 1) < least:
+            want.add((joined[i + 1], min(joined[i + window], len(text))))
+    return sorted(want)
+
+
+def test_spans_by_definition():
+    import random
+
+    rng = random.Random(8)
+    pool = ["like", "um", "the", "The", "Kind", "of", "kind of", "a", "mill", "you", "know", "aaaa", "É", "日本"]
+    texts = ["", " ", "x", *("".join(rng.choice(pool) + rng.choice([" ", "  ", "\n", " "]) for _ in range(rng.randrange(40))) for _ in range(300))]
+    texts += [" ".join(rng.choice(["ha", "ho"]) for _ in range(60)) for _ in range(30)]
+    phrases = [*U.SLOP_PHRASES, "aa", "the mill"]
+    assert U.batch_spans(texts, phrases) == [_spans_by_definition(t, phrases) for t in texts]
+
+
+def test_entropy_of_batches():
+    from collections import Counter
+    from math import log2
+
+    texts = ["", None, "a", "abab", "日本日", "aé日\U0001f642" * 7, " ", *("x" * k + "y" for k in range(1200))]
+    got = U.char_entropy.func(pa.array(texts)).to_pylist() if hasattr(U.char_entropy, "func") else None
+    for t, x in zip(texts, got or []):
+        want = -sum(c / len(t) * log2(c / len(t)) for c in Counter(t).values()) if t else None
+        assert x is None if want is None else x == pytest.approx(want, abs=1e-9)
+    assert got is not None
+
+
 def test_rouge_and_bleu():
+    assert U.bleu(["x"], [["y"]]) == 0
     assert U.rouge_l("a b c d", "a x c d") == pytest.approx(0.75)
     assert U.rouge_l("", "a") == 0
     ws = "one two three four five".split()
