@@ -2,14 +2,17 @@
 
 Ranks over all rows would need one global order, so curve metrics first reduce
 the rows to one per distinct score (an aggregate with map-side combine) and
-accumulate over those; ``buckets`` bounds their number for continuous scores.
+accumulate over those by ranges of the score (``ranks.prefix``), so no task
+holds all distinct scores; ``buckets`` bounds their number, if that is wanted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.operators import ranks
+
 
 def ratio0(a: Column, b: Column) -> Column:
     """a / b, or 0 where b is 0."""
@@ -34,17 +37,18 @@ def by_score(df: DataFrame, score: str, truth: Column, buckets: int | None = Non
 
 def roc_auc(counts: DataFrame, single_class: float | None = 0.0) -> DataFrame:
     """One row auc from ``by_score``: pairs ranked right plus half the ties, over all pairs."""
-    w = Window.partitionBy(F.lit(0)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    d = counts.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    d = ranks.prefix(ranks.score_ranges(counts, F.col("score")), [], ["score"], F.col("neg"), "below")
     s = d.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return s.select(F.coalesce(F.try_divide(F.col("u"), (F.col("p") * F.col("n")).cast("double")), F.lit(single_class)).alias("auc"))
 
 
 def roc_points(counts: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr) for each distinct score, from the highest."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    d = counts.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w)).join(F.broadcast(totals))
+    d = ranks.score_ranges(counts, -F.col("score"))
+    for c, above in (("pos", "tp"), ("neg", "fp")):
+        d = ranks.prefix(d, [], [F.desc("score")], F.col(c), above).withColumn(above, F.col(above) + F.col(c))
+    d = d.join(F.broadcast(totals))  # one row
     return d.select(F.col("score").alias("threshold"), ratio0(F.col("fp"), F.col("n")).alias("fpr"), ratio0(F.col("tp"), F.col("p")).alias("tpr"))
 
 
@@ -61,8 +65,8 @@ def threshold_sweep(counts: DataFrame, thresholds: Column) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """(value, out): the average rank of each distinct value; join it back on the value."""
     g = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return g.select(value, (F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2.0).alias(out))
+    g = ranks.prefix(ranks.score_ranges(g, F.col(value)), [], [value], F.col("__n"), "__below")
+    return g.select(value, (F.col("__below") + (F.col("__n") + 1) / 2.0).alias(out))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

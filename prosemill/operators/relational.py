@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 def first_per(df: DataFrame, keys: list[str], order: list[Column | str], keep: list[str] | None = None) -> DataFrame:
     """The first row of each group; ``order`` must end in a unique key.
 
-    Done as an aggregate (min of a struct) when all order columns are plain
-    names, so rows are combined before the shuffle; else by a row number, whose
-    limit Spark pushes below the shuffle.
+    By a row number whose limit of one row Spark also applies below the shuffle,
+    so a hot group sends one row per partition.
     """
     keep = keep or [c for c in df.columns if c not in keys]
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosemill.operators import ranks
+
 
 def hash_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
@@ -41,12 +43,12 @@ def split_counts(total: Column, train: Column, val: Column, test: Column) -> lis
 
 def stratified_split(df: DataFrame, key: str, stratum: str, train: float, val: float, seed: int) -> DataFrame:
     """df with split: shares of each stratum, at least one row for train and val."""
-    w = Window.partitionBy(stratum)
-    n = F.row_number().over(w.orderBy(hash_order(seed, key), key))
-    size = F.count(F.lit(1)).over(w)
-    first = F.greatest(F.lit(1), F.floor(size * train))
-    second = first + F.greatest(F.lit(1), F.floor(size * val))
-    return df.withColumn("split", F.when(n <= first, "train").when(n <= second, "val").otherwise("test"))
+    d = df.withColumn("__h", hash_order(seed, key)).withColumn("__range", ranks.hex_range(F.coalesce("__h", F.lit("00"))))
+    d = ranks.with_sizes(ranks.prefix(d, [stratum], ["__h", key], F.lit(1), "__n"), stratum, "__size")
+    first = F.greatest(F.lit(1), F.floor(F.col("__size") * train))
+    second = first + F.greatest(F.lit(1), F.floor(F.col("__size") * val))
+    split = F.when(F.col("__n") < first, "train").when(F.col("__n") < second, "val").otherwise("test")
+    return d.withColumn("split", split).drop("__h", "__range", "__n", "__size")
 
 
 def stable_id(columns: list[str]) -> Column:
@@ -90,11 +92,11 @@ def with_stage_weights(df: DataFrame, column: str) -> DataFrame:
 
 def hard_pack(df: DataFrame, group: str, key: str, score: str, delta: str) -> DataFrame:
     """(key, reason): the top half by score and the lowest 30% by delta of each group; delta's reason wins."""
-    w = Window.partitionBy(group)
-    a = F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), key))
-    b = F.row_number().over(w.orderBy(F.col(delta).asc_nulls_last(), key))
-    size = F.count(F.lit(1)).over(w)
-    d = df.withColumn("__top", a <= F.greatest(F.lit(1), F.floor(size * 0.5))).withColumn("__low", b <= F.greatest(F.lit(1), F.floor(size * 0.3)))
+    d = df.select(group, key, F.coalesce(-F.col(score), F.lit(float("inf"))).alias("__x"), F.coalesce(F.col(delta), F.lit(float("inf"))).alias("__y"))
+    d = ranks.ranks(ranks.ranks(d, [group], F.col("__x"), key, "__a"), [group], F.col("__y"), key, "__b")
+    d = ranks.with_sizes(d, group, "__size")
+    share = lambda x: F.greatest(F.lit(1), F.floor(F.col("__size") * x))
+    d = d.withColumn("__top", F.col("__a") <= share(0.5)).withColumn("__low", F.col("__b") <= share(0.3))
     return d.filter("__top OR __low").select(key, F.when(F.col("__low"), "low_delta").otherwise("high_score").alias("reason"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as X
+from prosemill.operators import ranks
 from prosemill.operators import relational as J
 from prosemill.operators import sampling as S
 from prosemill.plans.catalogue import query, r6, w_sql
@@ -183,9 +184,9 @@ def win_09(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win_10_ratchet", f"select log_id from (select log_id, slop_score, min(slop_score) over (partition by topic order by generation, log_id rows between unbounded preceding and 1 preceding) as best from {LOG_ONCE_SQL} where slop_score is not null and generation is not null) where best is null or slop_score < best")
 def win_10(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("topic").orderBy("generation", "log_id").rowsBetween(Window.unboundedPreceding, -1)
     e = log_once(spark, d, "topic", "generation", "slop_score").filter("slop_score IS NOT NULL AND generation IS NOT NULL")
-    return e.withColumn("best", F.min("slop_score").over(w)).filter("best IS NULL OR slop_score < best").select("log_id")
+    e = ranks.score_ranges(e, F.col("generation"), "log_id")
+    return ranks.prefix(e, ["topic"], ["generation", "log_id"], F.col("slop_score"), "best", least=True).filter("best IS NULL OR slop_score < best").select("log_id")
 
 
 @query("win_11_top_per_source", f"select topic, pair_id from (select topic, pair_id, row_number() over (partition by topic order by improvement desc nulls last, input_slop_score desc nulls last, pair_id) as n from {ONCE_SQL}) where n <= 2")
@@ -246,8 +247,8 @@ def win_18(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win_19_curriculum", f"select pair_id, row_number() over (partition by topic_source order by coalesce(improvement, 0) desc, pair_id) as position from {ONCE_SQL}")
 def win_19(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("topic_source").orderBy(F.coalesce("improvement", F.lit(0.0)).desc(), "pair_id")
-    return once(spark, d, "topic_source", "improvement").select("pair_id", F.row_number().over(w).alias("position"))
+    p = once(spark, d, "topic_source", "improvement")
+    return ranks.ranks(p, ["topic_source"], -F.coalesce("improvement", F.lit(0.0)), "pair_id", "position").select("pair_id", F.col("position").cast("int"))
 
 
 def _z(kind: str, name: str, group: str, one: str) -> None:

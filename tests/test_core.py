@@ -14,6 +14,7 @@ from prosemill.functions import text as X
 from prosemill.functions import udfs as U
 from prosemill.operators import evaluate as E
 from prosemill.operators import models as M
+from prosemill.operators import ranks as R
 from prosemill.operators import relational as J
 from prosemill.operators import sampling as S
 from prosemill.operators import search, synth
@@ -216,6 +217,28 @@ def test_rouge_and_bleu():
     assert U.bleu(ws, [ws]) == pytest.approx(1.0)
 
 
+def test_ranks_of_hot_groups_and_ties(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([0.5, 0.5, 0.5, None, rng.random()])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k long, g string, s double").withColumn("__n", F.lit(1))
+    ranked = R.ranks(df, ["g"], F.col("s"), "k", "n")
+    assert R.score_ranges(df.filter("g = 'hot'"), F.col("s"), "k").groupBy("__range").count().agg(F.max("count")).first()[0] < 100  # no task gets the group or the tie whole
+    got = {r["k"]: r["n"] for r in ranked.collect()}
+    for g in ("hot", "b", None):
+        mine = sorted((k for k, x, _ in rows if x == g), key=lambda k: (rows[k][2] is not None, rows[k][2] or 0, k))
+        assert [got[k] for k in mine] == list(range(1, len(mine) + 1))
+    best = {r["k"]: r["m"] for r in R.prefix(R.score_ranges(df, F.col("k")), ["g"], ["k"], F.col("s"), "m", least=True).collect()}
+    for g in ("hot", None):
+        least = None
+        for k, x, s in rows:
+            if x == g:
+                assert best[k] == least
+                least = s if least is None else least if s is None else min(least, s)
+    assert R.ranks(df.limit(0), ["g"], F.col("s"), "k", "n").count() == 0
+
+
 def test_auc_and_spearman(spark):
     df = spark.createDataFrame([(0.1, False), (0.4, True), (0.4, False), (0.9, True)], "s double, y boolean")
     assert E.roc_auc(E.by_score(df, "s", F.col("y"))).first()["auc"] == pytest.approx(0.875)
