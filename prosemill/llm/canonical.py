@@ -395,7 +395,17 @@ def lookalike_pairs(classes: DataFrame, key: str, by: list[str]) -> DataFrame:
         .filter("__lo <> __hi")
         .select(*by, "screen_id")
     )
-    d = classes.join(several, [*by, "screen_id"], "left_semi")
+    d = classes.join(several.hint("merge"), [*by, "screen_id"], "left_semi")
     a = d.select(*by, "screen_id", F.col(key).alias("key_a"), F.col("spelling_id").alias("__sa"))
     b = d.select(*by, "screen_id", F.col(key).alias("key_b"), F.col("spelling_id").alias("__sb"))
-    return a.join(b, [*by, "screen_id"]).filter("key_a < key_b AND __sa <> __sb").select(*by, "key_a", "key_b").distinct()
+    return a.join(b.hint("merge"), [*by, "screen_id"]).filter("key_a < key_b AND __sa <> __sb").select(*by, "key_a", "key_b").distinct()
+
+
+def lookalike_classes(classes: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """(by..., key, class_id, spellings): per record the least key that reads the same, and the number of spellings of the class.
+
+    The form of the pairs for groups of any size: a row per record.
+    """
+    spelt = classes.groupBy(*by, "screen_id", "spelling_id").agg(F.min(key).alias("__least"))
+    found = spelt.groupBy(*by, "screen_id").agg(F.min("__least").alias("class_id"), F.count("*").alias("spellings"))
+    return classes.select(*by, key, "screen_id").distinct().join(found.hint("merge"), [*by, "screen_id"]).select(*by, key, "class_id", "spellings")

@@ -70,15 +70,25 @@ def plan_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return steps
 
 
-def plan_table(spark: SparkSession, histogram: DataFrame) -> DataFrame:
-    """The plan for a histogram (capacity, length, n, full_pieces) of remainders.
+RANGE_ROWS = 100_000  # rows of a length or capacity that a hash range should hold
+
+
+def ranges_for(rows: int) -> int:
+    """A power of two of hash ranges, so that none holds many more than RANGE_ROWS of the rows."""
+    return 1 << max(6, (rows // RANGE_ROWS).bit_length())
+
+
+def plan_table(spark: SparkSession, histogram: DataFrame) -> tuple[DataFrame, int, int]:
+    """(plan for a histogram (capacity, length, n, full_pieces) of remainders, most rows of a length, rows of a capacity).
 
     The histogram is collected: it has at most one row for each length up to
     each capacity, however many documents there are.
     """
     counts: dict[int, dict[int, int]] = defaultdict(dict)
     full: dict[int, int] = defaultdict(int)
+    most, every = 0, defaultdict(int)
     for r in histogram.collect():
+        most, every[r.capacity] = max(most, r.n), every[r.capacity] + r.n
         if r.length:
             counts[r.capacity][r.length] = r.n
         full[r.capacity] += r.full_pieces
@@ -86,7 +96,7 @@ def plan_table(spark: SparkSession, histogram: DataFrame) -> DataFrame:
     for capacity in sorted(full):
         for length, a, b, first, offset in plan_counts(counts[capacity], capacity):
             rows.append((capacity, length, a, b, full[capacity] + first, offset, full[capacity]))
-    return spark.createDataFrame(rows, PLAN)
+    return spark.createDataFrame(rows, PLAN), most, max(every.values(), default=0)
 
 
 def pack(sizes: DataFrame, key: str, size: str, capacities: list[int]) -> DataFrame:
@@ -100,11 +110,11 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: list[int]) -> DataFr
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
     items = sizes.select(key, n.alias("__n"), F.explode(F.array(*[F.lit(c) for c in caps]) if caps else F.array().cast("array<int>")).alias("capacity"))
     items = items.withColumn("__full", F.expr("__n div capacity")).withColumn("length", (F.col("__n") % F.col("capacity")).cast("int"))
-    plan = plan_table(spark, items.groupBy("capacity", "length").agg(F.count("*").alias("n"), F.sum("__full").alias("full_pieces")))
+    plan, most, every = plan_table(spark, items.groupBy("capacity", "length").agg(F.count("*").alias("n"), F.sum("__full").alias("full_pieces")))
 
     # slots of remainders: one narrow shuffle on (capacity, length, range)
     rest = items.filter("length > 0").withColumn("__key", hash_key(F.lit(17), F.col(key))).withColumn("__one", F.lit(1))
-    rest = prefix_sums(rest, ["capacity", "length"], "__key", [key], "__one", "__rank", ranges=64)
+    rest = prefix_sums(rest, ["capacity", "length"], "__key", [key], "__one", "__rank", ranges=ranges_for(most))
     slots = F.broadcast(plan)  # at most a few rows for each length up to the capacity
     c = rest.join(slots, ["capacity", "length"]).filter("__rank >= from_rank AND __rank < to_rank")
     packed = c.select(
@@ -115,7 +125,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: list[int]) -> DataFr
 
     # full pieces fill containers 0..full-1 of their capacity, numbered by prefix sums of pieces
     big = items.filter("__full > 0").withColumn("__key", hash_key(F.lit(23), F.col(key)))
-    big = prefix_sums(big, ["capacity"], "__key", [key], "__full", "__first", ranges=1024)
+    big = prefix_sums(big, ["capacity"], "__key", [key], "__full", "__first", ranges=ranges_for(every))
     whole = big.select("capacity", key, "__first", F.posexplode(F.sequence(F.lit(0), (F.col("__full") - 1).cast("int"))).alias("piece", "__p"))
     whole = whole.select("capacity", key, "piece", (F.col("__first") + F.col("piece")).alias("container"), F.lit(0).alias("item_offset"), F.col("capacity").alias("piece_size"))
 

@@ -122,6 +122,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.lookalike_pairs(classes, "key", ["field_name"])
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Per text its class of equal-looking texts and the number of spellings in it."""
+    return canonical.lookalike_classes(canonical.screen_classes(p4_texts(spark, d), "key", "text", ["field_name"]), "key", ["field_name"])
+
+
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every text in its canonical form."""
     return p4_texts(spark, d).dropDuplicates(["field_name", "key"]).select("field_name", "key", canonical.canonical_text(F.col("text")).alias("text"))
@@ -189,7 +194,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_mix, p1_shares, p1_token_shares, p1_supply, p2_found, p2_classes, p3_found, p3_rates, p3_deciders, p4_found, p4_canonical, p5_found, p5_tags, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates]
+    named = [p1_mix, p1_shares, p1_token_shares, p1_supply, p2_found, p2_classes, p3_found, p3_rates, p3_deciders, p4_found, p4_classes, p4_canonical, p5_found, p5_tags, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates]
     return {f.__name__: f for f in named}
 
 

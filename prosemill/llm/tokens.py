@@ -38,7 +38,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 # Fixed value: the vocabulary's published word-splitting pattern. (?U) gives \s
 # its Unicode meaning in Java.
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_STATES = 2_000_000
+MAX_STATES = 2_000_000  # states, arcs and word ids that a worker remembers
 
 
 def byte_letters() -> list[str]:
@@ -96,7 +96,6 @@ class WordRunner:
         for token, word in enumerate(automaton.label):
             self.token_of.setdefault(word, token)
         self.longest = max(map(len, self.token_of))
-        self.arcs: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -104,6 +103,12 @@ class WordRunner:
         self.emits: list[int] = [-1]
         self.back: list[int] = [0]
         self.done: dict[str, list[int]] = {}
+        self.arcs: dict[tuple[int, int], bool] = {}
+        self.held = 0
+
+    def full(self) -> bool:
+        """Whether the table has grown to its bound: states, arcs looked up, words and their ids together."""
+        return len(self.emits) + len(self.arcs) + self.held > MAX_STATES
 
     def _grow(self, state: int, path: list[int], word: bytes, end: int) -> int:
         """The state of word[:end], whose shorter prefixes are the states in path."""
@@ -129,6 +134,8 @@ class WordRunner:
     def encode(self, text: str) -> list[int]:
         if (found := self.done.get(text)) is not None:
             return found
+        if self.full():  # also in the middle of a batch; what is forgotten is worked out again
+            self.reset()
         word = text.encode("utf-8", "surrogatepass")
         state, path, step = 0, [0], self.next
         for at, byte in enumerate(word):
@@ -141,6 +148,7 @@ class WordRunner:
             state = self.back[state]
         out.reverse()
         self.done[text] = out
+        self.held += 1 + len(out)
         return out
 
 
@@ -170,8 +178,6 @@ def encode_words(words: pa.Array, path: str) -> pa.Array:
     sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = words.flatten()
     coded = flat.dictionary_encode()
-    if len(run.emits) > MAX_STATES:
-        run.reset()
     each = [run.encode(x) for x in coded.dictionary.to_pylist()]
     length = np.fromiter(map(len, each), np.int64, len(each))
     ids = np.fromiter((i for x in each for i in x), np.int32, int(length.sum()))

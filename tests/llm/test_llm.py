@@ -298,6 +298,8 @@ def test_lookalike_pairs(spark):
     df = spark.createDataFrame(rows, "k long, t string").withColumn("f", F.lit("x")).withColumn("screen_id", F.lit(0))
     c = canonical.screen_classes(df, "k", "t", ["f"])
     assert {(r["key_a"], r["key_b"]) for r in canonical.lookalike_pairs(c, "k", ["f"]).collect()} == {(1, 2), (2, 3), (8, 9)}
+    got = {r["k"]: (r["class_id"], r["spellings"]) for r in canonical.lookalike_classes(c, "k", ["f"]).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 1), 8: (8, 2), 9: (8, 2)}
     assert canonical.lookalike_pairs(canonical.screen_classes(df.limit(0), "k", "t", ["f"]), "k", ["f"]).count() == 0
 
 
@@ -383,6 +385,17 @@ class TestTokens:
         bits = ["a", "aa", "the", " ", "ing", "er", "th", "\n", "\t", "0", "12", "é", "—", "🙂", "日本", "'s", "'re", "!", "..", "=", "-", "x", "ll", " ", "　", "<|endoftext|>", "ß", "\r\n"]
         return ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)]
 
+    def test_table_stays_bounded_and_ids_the_same(self, reference, monkeypatch):
+        monkeypatch.setattr(tokens, "MAX_STATES", 300)
+        run = tokens.runner(tokens.vocabulary_path())
+        run.reset()
+        texts = self.texts()[:400]
+        got = tokens.encode_words(pa.array([[t] for t in texts]), tokens.vocabulary_path()).to_pylist()
+        assert len(run.emits) + len(run.arcs) + run.held < 300 + 2000
+        run.reset()
+        monkeypatch.undo()
+        assert got == tokens.encode_words(pa.array([[t] for t in texts]), tokens.vocabulary_path()).to_pylist()
+
     def test_same_ids_and_round_trip(self, spark, reference):
         texts = [*self.texts(), LONG, "a" * 5000, "", None]
         df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").withColumn("ids", F.lit("clash"))
