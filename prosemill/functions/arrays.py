@@ -115,3 +115,23 @@ def composite_drift(semantic: Column, rouge: Column, bert: Column, slop: Column,
     """Weighted drift components, counted only where slop is at or below the gate."""
     a, b, c = weights
     return F.when(slop <= gate, a * semantic + b * (1 - rouge) + c * (1 - bert)).otherwise(0.0)
+
+
+def fluency(log_probabilities: Column) -> Column:
+    """Mean log-probability of a text's tokens (minus the mean loss); null for none."""
+    n = F.size(log_probabilities)
+    return F.when(n > 0, F.aggregate(log_probabilities, F.lit(0.0), lambda s, x: s + x) / n)
+
+
+def perplexity(log_probabilities: Column) -> Column:
+    return F.exp(-fluency(log_probabilities))
+
+
+def greedy_match(candidate: Column, reference: Column) -> dict[str, Column]:
+    """precision, recall and f1 of two arrays of token vectors: each token counts its best cosine on the other side."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    cosine = lambda a, b: F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+    best = lambda mine, others: F.transform(mine, lambda a: F.array_max(F.transform(others, lambda b: cosine(a, b))))
+    mean = lambda values, n: F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n
+    p, r = mean(best(candidate, reference), F.size(candidate)), mean(best(reference, candidate), F.size(reference))
+    return {"precision": p, "recall": r, "f1": F.try_divide(2 * p * r, p + r)}

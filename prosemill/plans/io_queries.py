@@ -118,6 +118,24 @@ def snk_06(spark: SparkSession, d: str) -> DataFrame:
     return io.fingerprints(spark, f"{to}/*.json").select("sha256")
 
 
+@query("src_12_topics_file", "select distinct topic from topic_sources where topic is not null")
+def src_12(spark: SparkSession, d: str) -> DataFrame:
+    to = folder(spark)
+    lines = table(spark, d, "topic_sources").filter("topic IS NOT NULL").select(F.concat(F.lit("- "), "topic").alias("value")).distinct()
+    lines.coalesce(1).write.text(to)
+    return io.read_topics(spark, f"{to}/part-*").select("topic")
+
+
+@query("src_14_latest_checkpoint", "select 'step-' || max(gen_config_id) as name, count(*) as n from generation_config")
+def src_14(spark: SparkSession, d: str) -> DataFrame:
+    """The newest of several written checkpoints, found through the file system of the folder, and what it holds."""
+    to, t = folder(spark), table(spark, d, "generation_config")
+    for (k,) in t.select("gen_config_id").collect():  # a fixed table of five rows
+        io.write_jsonl(t.filter(F.col("gen_config_id") <= k), f"{to}/step-{k}")
+    last = io.latest_checkpoint(spark, to)
+    return io.read_jsonl(spark, last, t.schema).agg(F.count("*").alias("n")).select(F.lit(last.rsplit("/", 1)[1]).alias("name"), "n")
+
+
 @query("smp_12_manifest_reuse", "select true as reused")
 def smp_12(spark: SparkSession, d: str) -> DataFrame:
     to = folder(spark)

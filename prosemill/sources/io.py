@@ -58,24 +58,31 @@ def read_keywords(spark: SparkSession, path: str, most_chars: int = 40) -> DataF
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
-    """(topic, position) of a small topics file: plain lines, or a YAML list of '- topic' items."""
-    with open(path, encoding="utf-8") as f:
-        raw = [line.rstrip("\n") for line in f]
-    items = [m.group(1) for line in raw if (m := re.match(r"^\s*-\s+[\"']?(.*?)[\"']?\s*$", line))]
-    topics = items or [line.strip() for line in raw if line.strip() and not line.strip().startswith("#")]
-    return spark.createDataFrame([(t, i) for i, t in enumerate(topics)], "topic string, position int")
+    """(topic, position) of a topics file: a YAML list of '- topic' items, or plain lines without comments."""
+    text = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
+    item = r"^\s*-\s+[\"']?(.*?)[\"']?\s*$"
+    items = F.transform(F.filter("lines", lambda x: x.rlike(item)), lambda x: F.regexp_extract(x, item, 1))
+    plain = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    return text.select(F.posexplode(F.when(F.size(items) > 0, items).otherwise(plain)).alias("position", "topic")).select("topic", "position")
 
 
-def latest_run(folder: str, pattern: str = r".*") -> str | None:
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system Spark reads; none if it doesn't exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def latest_run(spark: SparkSession, folder: str, pattern: str = r".*") -> str | None:
     """The greatest name that matches in a folder, or None."""
-    names = [n for n in os.listdir(folder) if re.fullmatch(pattern, n)] if os.path.isdir(folder) else []
-    return os.path.join(folder, max(names)) if names else None
+    names = [n for n in _names(spark, folder) if re.fullmatch(pattern, n)]
+    return f"{folder.rstrip('/')}/{max(names)}" if names else None
 
 
-def latest_checkpoint(folder: str) -> str | None:
+def latest_checkpoint(spark: SparkSession, folder: str) -> str | None:
     """The checkpoint with the greatest step number, or None."""
-    steps = [(int(m.group(1)), n) for n in (os.listdir(folder) if os.path.isdir(folder) else []) if (m := re.search(r"(\d+)$", n))]
-    return os.path.join(folder, max(steps)[1]) if steps else None
+    steps = [(int(m.group(1)), n) for n in _names(spark, folder) if (m := re.search(r"(\d+)$", n))]
+    return f"{folder.rstrip('/')}/{max(steps)[1]}" if steps else None
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:

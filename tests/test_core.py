@@ -209,6 +209,15 @@ def test_entropy_of_batches():
     assert got is not None
 
 
+def test_fluency_and_greedy_match(spark):
+    from math import exp
+
+    df = spark.createDataFrame([([-1.0, -3.0], [[1.0, 0.0], [0.0, 1.0]], [[0.0, 2.0]]), ([], [[1.0, 0.0]], [[0.0, 0.0]])], "p array<double>, a array<array<double>>, b array<array<double>>")
+    x, y = df.select(A.fluency(F.col("p")).alias("f"), A.perplexity(F.col("p")).alias("ppl"), *[c.alias(n) for n, c in A.greedy_match(F.col("a"), F.col("b")).items()]).collect()
+    assert x["f"] == -2 and x["ppl"] == pytest.approx(exp(2)) and x["precision"] == 0.5 and x["recall"] == 1 and x["f1"] == pytest.approx(2 / 3)
+    assert y["f"] is None and y["ppl"] is None and y["f1"] is None
+
+
 def test_rouge_and_bleu():
     assert U.bleu(["x"], [["y"]]) == 0
     assert U.rouge_l("a b c d", "a x c d") == pytest.approx(0.75)
@@ -376,8 +385,8 @@ def test_io_round_trips(spark, tmp_path):
     assert "| a | 1.00 |" in io.markdown_table(df, {"n": 2})
     for n in ("run-1", "run-3", "step-20", "step-100"):
         (tmp_path / "runs" / n).mkdir(parents=True)
-    assert io.latest_run(str(tmp_path / "runs"), r"run-\d").endswith("run-3")
-    assert io.latest_checkpoint(str(tmp_path / "runs")).endswith("step-100")
+    assert io.latest_run(spark, str(tmp_path / "runs"), r"run-\d").endswith("run-3")
+    assert io.latest_checkpoint(spark, str(tmp_path / "runs")).endswith("step-100")
     (tmp_path / "t.yaml").write_text("topics:\n  - 'one'\n  - two\n")
     assert [r["topic"] for r in io.read_topics(spark, str(tmp_path / "t.yaml")).collect()] == ["one", "two"]
 
@@ -385,11 +394,15 @@ def test_io_round_trips(spark, tmp_path):
 def test_stream_resumes_and_ratchets(spark, tmp_path):
     schema = "topic string, score double, log_id long"
     put = lambda rows, mode="append": spark.createDataFrame(rows, schema).coalesce(1).write.mode(mode).json(str(tmp_path / "in"))
-    run = lambda: logs.merge_best(logs.tail(spark, str(tmp_path / "in"), schema), str(tmp_path / "best"), str(tmp_path / "cp"), "topic", ["score", "log_id"]).awaitTermination()
+    run = lambda: logs.merge_best(logs.tail(spark, str(tmp_path / "in"), schema), str(tmp_path / "best"), str(tmp_path / "cp"), "topic", ["score", "log_id"], compact_every=2).awaitTermination()
     put([("a", 0.5, 1), ("b", 0.7, 2)])
     run()
     put([("a", 0.6, 3), ("b", 0.2, 4)])
     run()
-    assert {(r["topic"], r["log_id"]) for r in logs.ratchet_table(spark, str(tmp_path / "best")).collect()} == {("a", 1), ("b", 4)}
+    assert {(r["topic"], r["log_id"]) for r in logs.ratchet_table(spark, str(tmp_path / "best"), "topic", ["score", "log_id"]).collect()} == {("a", 1), ("b", 4)}
+    assert {k: sorted(v) for k, v in logs._complete(spark, str(tmp_path / "best")).items()} == {"v": [0, 1], "base": [1]}  # the second batch folded all
+    put([("a", 0.1, 5)])
+    run()
+    assert {(r["topic"], r["log_id"]) for r in logs.ratchet_table(spark, str(tmp_path / "best"), "topic", ["score", "log_id"]).collect()} == {("a", 5), ("b", 4)}
     logs.drain(logs.tail(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
