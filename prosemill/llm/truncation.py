@@ -2,16 +2,18 @@
 
 Two kinds of evidence decide whether a text is unfinished.
 
-* Near-copies. Five-word shingles are min-hashed into bands. A text's last full
-  shingle is looked up among the shingles in the closing fifth of the other
-  texts, where a copy of similarity 0.8 has it, and the two texts must share a
-  bucket. In every bucket each shingle has up to two texts that go on behind it
-  as partners, so a bucket costs as much as it has members, however large, and a
-  text meets those that go on, not the longest. Pairs verified at shingle
-  similarity 0.8 are aligned at the shorter one's end: if the longer goes on
-  within the sentence or the word, the shorter was cut; if it goes on with a new
-  sentence, it was left out at a sentence's end (``whole``). Exact copies are
-  one text throughout.
+* Near-copies. Every text's last full five-word shingle is looked up among the
+  shingles of all texts (those that pass a Bloom filter of the looked-up ones;
+  hits are joined exactly), where behind it stand at most as many new shingles as
+  a near-copy can lack, however often words repeat. Texts meet by keys of the shingle and what stands
+  behind it, so only such as go on behind another's end, or end in a longer word,
+  are compared, and by the prefix of their shingles in hash order, which no pair of
+  similarity 0.8 fails to share. A text that is shown to be cut by one of the
+  smallest and largest partners of a group is settled; the others meet all their
+  partners. The result is that of aligning every pair: a text was cut if any
+  copy of shingle similarity 0.8 goes on within the sentence or the word, and was
+  left out at a sentence's end (``whole``) if all that go on do so with a
+  new sentence. Exact copies are one text throughout.
 * Closing words. The rest is scored by how the text closes: a remnant of a cut
   or no closing mark means unfinished; lines that close a text without a mark
   (list items, tags, counts, sign-offs, headings) mean finished; behind a full
@@ -29,6 +31,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import blake2b
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from prosemill.llm.canonical import screen_key_text
 from prosemill.session import durable
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
+SHINGLE, SIMILARITY = 5, 0.8
 TERMINAL = 0.5  # least terminality of a closing word
 
 # Contents that stand for nothing.
@@ -55,6 +59,7 @@ OPEN_ABBREVIATIONS = {
 }
 AMBIGUOUS = {"no", "nr", "st", "fig", "ca", "gen", "rev", "vol", "est"}
 SENTENCE_MARKS = ".!?。！？؟।॥።‼⁇⁈⁉"
+STEM_END = "…,;:(-"
 CLOSERS = "\"'”’»›“)]}*_`>~」』）】"
 TOPIC_LABELS = {"topic", "thema", "tema", "sujet", "subject", "theme", "título", "title"}
 SIGN_OFF = re.compile(r"^(?:[—–―]|--)\s*\S|^(?:yours|sincerely|best|kind|warm)\b.{0,40}$|^(?:mit freundlichen|viele grüße|atentamente|cordialement)\b", re.I)
@@ -205,41 +210,28 @@ def shingle_hashes(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     return row[: len(h)][inside], h[inside]
 
 
-def band_keys(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that have shingles, their band hashes as an array of BANDS columns)."""
-    rng = np.random.default_rng(20)
-    mul = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-    have = np.unique(row)
-    start = np.searchsorted(row, have)
-    bands = np.zeros((len(have), BANDS), dtype=np.uint64)
-    for k in range(BANDS * ROWS):
-        low = np.minimum.reduceat((h * mul[k] + add[k]) >> np.uint64(20), start) if len(have) else h
-        bands[:, k // ROWS] = bands[:, k // ROWS] * np.uint64(0xC4CEB9FE1A85EC53) + low
-    return have, bands
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(F.lit(29), text)
 
 
-FORMS = "cell long, d long, last boolean"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))  # what str.split() splits at
+SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def text_digest(text: Column) -> Column:
-    return F.xxhash64(F.lit(29), text)
+def _hashes(text: Column) -> Column:
+    """A hash of each word; its last eight bits are the word's first character's."""
+    one = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-256)).bitwiseOR(F.ascii(w).cast("long").bitwiseAND(F.lit(255)))
+    return F.transform(F.split(F.btrim(text, F.lit(SPACES)), SPACE), one)
 
 
-def closing_cells(words: np.ndarray, sizes: np.ndarray, d: np.ndarray) -> dict[str, np.ndarray]:
-    """The last full shingle of each text (last) and the shingles of its closing fifth that go on."""
-    row, h = shingle_hashes(words, sizes)
-    count = np.bincount(row, minlength=len(sizes))
-    at = np.arange(len(row)) - (np.cumsum(count) - count)[row]
-    n = count[row]
-    last = (at == n - 2) & (n >= 3)  # all words but the text's last one, which may be a remnant
-    tail = (at >= np.floor(n * SIMILARITY) - 2) & (at < n - 1) & (n >= 3)
-    rows = np.concatenate([np.flatnonzero(last), np.flatnonzero(tail)])
-    return {"cell": h[rows].view(np.int64), "d": d[row[rows]], "last": np.arange(len(rows)) < int(last.sum())}
+def _word_hashes(text: str) -> Column:
+    return _hashes(F.col(text))
 
 
-def _word_hashes(text: str) -> Column:
-    return F.transform(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+def _last_words(text: str) -> Column:
+    """Hashes of the closing words, seven at least if the text has them."""
+    tail = F.substring_index(F.col(text), " ", -12)
+    return _hashes(F.when(tail.rlike(r"(\S+\s+){6}\S"), tail).otherwise(F.col(text)))
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,51 +240,23 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes
 
 
-def copy_candidates(texts: DataFrame, d: str, text: str) -> DataFrame:
-    """(x, y) digests of texts: y has x's last full shingle in its closing fifth, goes on behind it, and shares a bucket with x."""
-
-    def cells(batches):
-        for b in batches:
-            words, sizes = _flat(b.column("words"))
-            yield pa.RecordBatch.from_pydict(closing_cells(words, sizes, b.column("d").to_numpy(zero_copy_only=False)))
-
-    def signatures(batches):
-        for b in batches:
-            words, sizes = _flat(b.column("words"))
-            have, keys = band_keys(*shingle_hashes(words, sizes), len(sizes))
-            yield pa.RecordBatch.from_pydict({
-                "d": np.repeat(b.column("d").to_numpy(zero_copy_only=False)[have], BANDS),
-                "bucket": (keys ^ np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1).view(np.int64),
-            })
-
-    source = texts.select(F.col(d).alias("d"), F.col(text).alias("text"))
-    rows = durable(source.select("d", _word_hashes("text").alias("words")).mapInArrow(cells, FORMS))
-    both = rows.groupBy("cell").agg(F.max("last").alias("ends"), F.min("last").alias("goes_on"), F.min("d").alias("d0"), F.max("d").alias("d1"))
-    live = both.filter("ends AND NOT goes_on AND d0 <> d1").select("cell")
-    met = durable(matching(rows, live, "cell").distinct())
-    few = texts_of(source, met.select("d").distinct())
-    bands = durable(few.select("d", _word_hashes("text").alias("words")).mapInArrow(signatures, "d long, bucket long").distinct())
-    x = met.filter("last").select("cell", F.col("d").alias("x")).join(bands.withColumnRenamed("d", "x").hint("merge"), "x")
-    y = met.filter("NOT last").select("cell", "d").join(bands.hint("merge"), "d").groupBy("cell", "bucket").agg(F.array(F.min("d"), F.max("d")).alias("ys"))
-    found = x.join(y.hint("merge"), ["cell", "bucket"]).select("x", F.explode("ys").alias("y"))
-    return found.filter("x <> y").distinct()
+SMALL = 200_000  # rows of a few numbers that may be broadcast
 
 
-SMALL = 200_000  # rows of a few numbers that may be broadcast
+def counted(few: DataFrame) -> DataFrame:
+    """few as a side of a join: broadcast if its rows are counted to be few, else by a shuffle."""
+    rows = durable(few)
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows.hint("merge")
 
 
 def attach(wide: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """wide with few's columns, null where few has no row: by a broadcast if its rows are counted to be few, else by a shuffle."""
-    rows = durable(few)
-    small = rows.limit(SMALL + 1).count() <= SMALL
-    return wide.join(F.broadcast(rows) if small else rows.hint("merge"), key, "left")
+    """wide with few's columns, null where few has no row."""
+    return wide.join(counted(few), key, "left")
 
 
 def matching(wide: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """wide's rows whose key is among few's: by a broadcast if those are counted to be few, else by a shuffle."""
-    rows = durable(few)
-    small = rows.limit(SMALL + 1).count() <= SMALL
-    return wide.join(F.broadcast(rows) if small else rows.hint("merge"), key, "left_semi")
+    """wide's rows whose key is among few's."""
+    return wide.join(counted(few), key, "left_semi")
 
 
 def texts_of(source: DataFrame, digests: DataFrame) -> DataFrame:
@@ -300,6 +264,160 @@ def texts_of(source: DataFrame, digests: DataFrame) -> DataFrame:
     return matching(source, digests, "d").dropDuplicates(["d"])
 
 
+SEGMENT, MOST_BITS, PROBES = 2**23, 2**29, 4  # bits of a part of the filter, bits in all: a fuller filter lets more through and loses nothing
+
+
+def _bits(cells: np.ndarray, size: int, part: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(segment, bits within it) of each cell in a filter of so many bits."""
+    h = cells.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    segment = ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(max(1, size // part))
+    step = (h >> np.uint64(17)) | np.uint64(1)
+    return segment.astype(np.int64), [((h + np.uint64(k) * step) % np.uint64(min(size, part))).astype(np.int64) for k in range(PROBES)]
+
+
+def bloom_filter(cells: DataFrame, cell: str, part: int = SEGMENT, most: int = MOST_BITS) -> np.ndarray:
+    """The bytes of a filter that every cell passes, built in parts by the executors."""
+    size = 2**16
+    while size < min(most, 16 * cells.count()):
+        size *= 2
+
+    def segments(batches):
+        for b in batches:
+            c = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"segment": _bits(c, size, part)[0], "cell": c})
+
+    def build(group: pa.Table) -> pa.Table:
+        flags = np.zeros(min(size, part), dtype=bool)
+        for at in _bits(group.column("cell").to_numpy(), size, part)[1]:
+            flags[at] = True
+        return pa.table({"segment": group.column("segment")[:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    parts = cells.select(cell).mapInArrow(segments, "segment long, cell long").groupBy("segment").applyInArrow(build, "segment long, bits binary").collect()
+    width = min(size, part) // 8
+    whole = np.zeros(size // 8, dtype=np.uint8)
+    for r in parts:
+        whole[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return whole
+
+
+def passing(bits: np.ndarray, cells: np.ndarray, part: int = SEGMENT) -> np.ndarray:
+    """Numbers of the cells that may be in the filter."""
+    size = len(bits) * 8
+    segment, probes = _bits(cells, size, part)
+    base, left = segment * min(size, part), np.arange(len(cells))
+    for at in probes:
+        i = base[left] + at[left]
+        left = left[(bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 > 0]
+    return left
+
+
+def _key(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def short_keys(words: list[str]) -> list[int]:
+    """What a longer copy must have: the last full shingle with the last word behind it, or with a word that goes on behind its stem."""
+    anchor, stem = words[-SHINGLE - 1 : -1], words[-1].rstrip(CLOSERS + SENTENCE_MARKS + STEM_END)
+    return [_key("=", *anchor, words[-1])] + ([_key("<", *anchor, stem)] if stem else [])
+
+
+def long_keys(words: list[str], at: int) -> list[tuple[int, bool]]:
+    """(key, whether it shows a cut) of the shorter copies that end at word ``at``."""
+    anchor, word = words[at - SHINGLE : at], words[at]
+    found = [(_key("<", *anchor, word[:k]), True) for k in range(1, len(word)) if word[k].isalnum()]
+    return found + ([(_key("=", *anchor, word), goes_on_within(words, at))] if at < len(words) - 1 else [])
+
+
+FORM = "d long, n int, prefix array<long>, short array<long>, long array<struct<key:long,cut:boolean>>"
+
+
+def next_cells(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Cells of shingles and the first character of the word behind each, which a cut word still has."""
+    return (h ^ ((words & np.uint64(255)) + np.uint64(1)) * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64)
+
+
+def ends_met(source: DataFrame) -> DataFrame:
+    """(d, spots) of the texts that have the cell of another's end or whose own another has: the places of the words behind it, -1 for the own end."""
+
+    def ends(batches):
+        for b in batches:
+            words, sizes = _flat(b.column("words"))
+            row = np.flatnonzero(sizes > SHINGLE + 1)
+            six = words[np.cumsum(sizes)[row, None] + np.arange(-SHINGLE - 1, 0)]
+            _, h = shingle_hashes(six[:, :SHINGLE].reshape(-1), np.full(len(row), SHINGLE))
+            yield pa.RecordBatch.from_pydict({"cell": next_cells(h, six[:, SHINGLE]), "d": b.column("d").to_numpy(zero_copy_only=False)[row], "last": six[:, SHINGLE].view(np.int64)})
+
+    own = durable(source.select("d", _last_words("text").alias("words")).mapInArrow(ends, "cell long, d long, last long"))
+    shared = source.sparkSession.sparkContext.broadcast(bloom_filter(own, "cell"))
+
+    def inner(batches):
+        for b in batches:
+            words, sizes = _flat(b.column("words"))
+            row, h = shingle_hashes(words, sizes)
+            count = np.bincount(row, minlength=len(sizes))
+            begin = np.cumsum(count) - count
+            at = np.arange(len(row)) - begin[row]
+            inside = np.flatnonzero((at < count[row] - 2) & (count[row] >= 3))
+            cell = next_cells(h[inside], words[(np.cumsum(sizes) - sizes)[row[inside]] + at[inside] + SHINGLE])
+            left = passing(shared.value, cell)
+            seen = np.zeros(len(h) + 1, dtype=np.int64)  # distinct shingles up to each place, over all rows
+            fresh = np.isin(row, row[inside[left]]).nonzero()[0]
+            order = fresh[np.lexsort((h[fresh], row[fresh]))]
+            seen[1:][order[np.r_[True, (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])][: len(order)]]] = 1
+            seen = np.cumsum(seen)
+            hit = inside[left]
+            end = seen[(begin + count)[row[hit]]]
+            last = in_tail(end - seen[hit + 1], end - seen[begin[row[hit]]])
+            hit, left = hit[last], left[last]
+            yield pa.RecordBatch.from_pydict({"cell": cell[left], "d": b.column("d").to_numpy(zero_copy_only=False)[row[hit]], "spot": at[hit] + SHINGLE})
+
+    passed = source.select("d", _word_hashes("text").alias("words")).mapInArrow(inner, "cell long, d long, spot long")
+    cells = own.groupBy("cell").agg(F.min("last").alias("lo"), F.max("last").alias("hi"))
+    hits = durable(passed.join(cells.hint("merge"), "cell", "left_semi"))
+    live = cells.filter("lo <> hi").select("cell").unionByName(hits.select("cell")).distinct()
+    spots = matching(own, live, "cell").select("d", F.lit(-1).cast("long").alias("spot")).unionByName(hits.select("d", "spot"))
+    return spots.groupBy("d").agg(F.collect_set("spot").alias("spots"))
+
+
+def forms_of(few: DataFrame) -> DataFrame:
+    """(FORM) of texts with spots: number of distinct shingles, the prefix of these in hash order, keys as the shorter and as the longer text."""
+
+    def forms(batches):
+        for b in batches:
+            words, sizes = _flat(b.column("words"))
+            row, h = shingle_hashes(words, sizes)
+            cuts = np.searchsorted(row, np.arange(len(sizes) + 1))
+            out: dict[str, list] = {"n": [], "prefix": [], "short": [], "long": []}
+            for i, (text, spots) in enumerate(zip(b.column("text").to_pylist(), b.column("spots").to_pylist())):
+                ws, own = text.split(), np.unique(h[cuts[i] : cuts[i + 1]])
+                out["n"].append(len(own))
+                out["prefix"].append(own[: len(own) - ceil(SIMILARITY * len(own) - 1e-9) + 1].view(np.int64).tolist())
+                out["short"].append(short_keys(ws) if -1 in spots else [])
+                out["long"].append([{"key": k, "cut": c} for k, c in {x for s in spots for x in long_keys(ws, s if s >= 0 else len(ws) - 1)}])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("d"), pa.array(out["n"], pa.int32()), *[pa.array(out[c], pa.list_(pa.int64())) for c in ("prefix", "short")], pa.array(out["long"], LONG_TYPE)],
+                ["d", "n", "prefix", "short", "long"],
+            )
+
+    return few.select("d", "text", _word_hashes("text").alias("words"), "spots").mapInArrow(forms, FORM)
+
+
+LONG_TYPE = pa.list_(pa.struct([("key", pa.int64()), ("cut", pa.bool_())]))
+
+
+def partners(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, y sides) a row per key and prefix shingle: (key, p, x, ix, nx), (key, p, y, iy, ny, cut)."""
+    x = forms.select(F.col("d").alias("x"), F.col("n").alias("nx"), "prefix", F.explode("short").alias("key")).distinct()
+    y = forms.select(F.col("d").alias("y"), F.col("n").alias("ny"), "prefix", F.explode("long").alias("k")).groupBy("y", "ny", "prefix", F.col("k.key").alias("key")).agg(F.max("k.cut").alias("cut"))
+    keys = x.select("key", F.col("x").alias("d"), F.lit(True).alias("short")).unionByName(y.select("key", F.col("y").alias("d"), F.lit(False).alias("short")))
+    both = keys.groupBy("key").agg(F.max("short").alias("a"), F.min("short").alias("b"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    live = counted(both.filter("a AND NOT b AND lo <> hi").select("key"))
+    x = x.join(live, "key", "left_semi").select("key", "x", "nx", F.posexplode("prefix").alias("ix", "p"))
+    y = y.join(live, "key", "left_semi").select("key", "y", "ny", "cut", F.posexplode("prefix").alias("iy", "p"))
+    return durable(x), durable(y)
+
+
 def aligned_end(short: str, long: str) -> str | None:
     """Where a text stops in one that goes on: cut | whole | None if they aren't near-copies there."""
     a, b = short.split(), long.split()
@@ -311,33 +429,70 @@ def aligned_end(short: str, long: str) -> str | None:
         return None
     anchor = a[-SHINGLE - 1 : -1]
     spots = [i + SHINGLE for i in range(len(b) - SHINGLE) if b[i : i + SHINGLE] == anchor]
+    tail = tail_begin([tuple(b[i : i + SHINGLE]) for i in range(len(b) - SHINGLE + 1)]) + SHINGLE if spots else 0
+    spots = [i for i in spots if i >= tail]
     if not spots:
         return None
     at = min(spots, key=lambda i: abs(i - (len(a) - 1)))
     mine, theirs = a[-1], b[at]
     if mine == theirs:
-        if at == len(b) - 1:
-            return None
-        ends = theirs.rstrip(CLOSERS)[-1:] in tuple(SENTENCE_MARKS)
-        goes_on = b[at + 1].lstrip("\"'“(*[")[:1]
-        return "cut" if not ends or goes_on.islower() or goes_on.isdigit() else "whole"
-    stem = mine.rstrip(CLOSERS + SENTENCE_MARKS + "…,;:(-")
+        return None if at == len(b) - 1 else "cut" if goes_on_within(b, at) else "whole"
+    stem = mine.rstrip(CLOSERS + SENTENCE_MARKS + STEM_END)
     return "cut" if stem and theirs.startswith(stem) and len(theirs) > len(stem) and theirs[len(stem)].isalnum() else None
 
 
+def in_tail(new, distinct):
+    """Whether a copy of a text that ends at a place can have so many of its distinct shingles only behind it: one may be the shorter text's last."""
+    return new - 1 <= distinct - SIMILARITY * distinct + 1e-9
+
+
+def tail_begin(shingles: list) -> int:
+    """The first place of a text at which a near-copy can end while the text goes on with what the copy doesn't have."""
+    distinct, seen = len(set(shingles)), set()
+    for i, x in enumerate(shingles):
+        seen.add(x)
+        if in_tail(distinct - len(seen), distinct):
+            return i
+    return len(shingles)
+
+
+def goes_on_within(words: list[str], at: int) -> bool:
+    """Whether the sentence goes on behind word ``at``."""
+    ends = words[at].rstrip(CLOSERS)[-1:] in tuple(SENTENCE_MARKS)
+    head = words[at + 1].lstrip("\"'“(*[")[:1]
+    return not ends or head.islower() or head.isdigit()
+
+
 def aligned_ends(texts: DataFrame, d: str, text: str) -> DataFrame:
-    """(d, aligned): cut if any near-copy shows the text goes on, whole if one only goes on with new sentences."""
+    """(d, aligned): cut if any near-copy shows the text goes on, whole if those that go on do so only with new sentences."""
 
     @F.arrow_udf("string")
     def align(short: pa.Array, long: pa.Array) -> pa.Array:
         return pa.array([aligned_end(x, y) for x, y in zip(short.to_pylist(), long.to_pylist())], pa.string())
 
     source = texts.select(F.col(d).alias("d"), F.col(text).alias("text"))
-    pairs = durable(copy_candidates(source, "d", "text"))
-    few = durable(texts_of(source, pairs.select(F.explode(F.array("x", "y")).alias("d")).distinct()))
-    a, b = (few.select(F.col("d").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
-    found = pairs.join(a.hint("merge"), "x").join(b.hint("merge"), "y").select(F.col("x").alias(d), align("tx", "ty").alias("aligned")).filter("aligned IS NOT NULL")
-    return found.groupBy(d).agg(F.min("aligned").alias("aligned"))
+    spots = durable(ends_met(source))
+    few = durable(texts_of(source, spots.select("d")).join(spots.hint("merge"), "d"))
+    xs, ys = partners(durable(forms_of(few)))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (few.select(F.col("d").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
+        found = pairs.join(a.hint("merge"), "x").join(b.hint("merge"), "y").select("x", align("tx", "ty").alias("aligned")).filter("aligned IS NOT NULL")
+        return found.groupBy("x").agg(F.min("aligned").alias("aligned"))
+
+    cut = lambda f: f(F.when(F.col("cut"), F.col("y")))
+    three = F.array_distinct(F.array_compact(F.array(cut(F.min), cut(F.max), F.min(F.when(~F.col("cut"), F.col("y"))))))
+    groups = durable(ys.groupBy("key", "p").agg(three.alias("ys"), F.count("*").alias("n")))
+    first = durable(xs.select("key", "p", "x").join(groups.hint("merge"), ["key", "p"]).select("x", F.explode("ys").alias("y")).filter("x <> y").distinct())
+    found = durable(verified(first))
+    more = groups.filter(F.col("n") > F.size("ys")).select("key", "p")
+    if not more.isEmpty():
+        left = xs.join(found.hint("merge"), "x", "left").filter("aligned IS NULL OR aligned <> 'cut'").join(more.hint("merge"), ["key", "p"], "left_semi")
+        share = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("nx") + F.col("ny")) - 1e-6  # shingles that such a pair has in common at least
+        fits = (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= share) & (F.col("x") != F.col("y")) & (F.col("cut") | F.col("aligned").isNull())
+        rest = left.join(ys.hint("merge"), ["key", "p"]).filter(fits).select("x", "y").distinct().join(first.hint("merge"), ["x", "y"], "left_anti")
+        found = found.unionByName(verified(durable(rest))).groupBy("x").agg(F.min("aligned").alias("aligned"))
+    return found.select(F.col("x").alias(d), "aligned")
 
 
 # ---- verdict -----------------------------------------------------------------------------------

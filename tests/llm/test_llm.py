@@ -258,6 +258,72 @@ def test_alignment_decides_planted_cuts(spark):
     assert all(got[k]["aligned"] == ("cut" if k >= 1200 else None) for k, _ in hot)
 
 
+def test_alignment_equals_that_of_every_pair(spark):
+    """Groups with many partners of which few are near-copies, moved and repeated parts, cuts inside words: as brute force over all pairs."""
+    rng = random.Random(31)
+    texts = set()
+    for g in range(6):
+        end = f"So the long road of group{g} ran"
+        bodies = []
+        for _ in range(14):  # bodies of one key that share a third of their words, so that buckets are shared without similarity
+            common = [f"g{g}w{i}" for i in range(14)]
+            bodies.append(common + [f"x{rng.randrange(10**6)}" for _ in range(26)])
+        for b in bodies:
+            stop = rng.choice([" on", " onwar", "", " onward."])
+            texts.add(" ".join(b) + f" {end}{stop}")
+            for tail in (" onward to town", " onward. Nobody knew", "", " on", " onward. 7 knew"):
+                if rng.random() < 0.5:
+                    mine = list(b)
+                    for _ in range(rng.choice([0, 0, 1, 3])):
+                        mine[rng.randrange(len(mine))] = f"y{rng.randrange(100)}"
+                    texts.add(" ".join(mine) + f" {end}{tail}")
+        moved = bodies[0][:20] + f"{end} onward".split() + bodies[0][20:]  # the shorter text's end in the middle: no text that goes on behind it
+        assert truncation.aligned_end(" ".join(bodies[0] + f"{end} on".split()), " ".join(moved)) is None
+        texts.add(" ".join(bodies[0] + f"{end} on".split()))
+        texts.add(" ".join(moved))
+        once = [f"r{g}q{i}" for i in range(30)]
+        texts.add(" ".join(once))
+        texts.add(" ".join(once + ["na"] * 60))  # few shingles more, but many words
+        assert truncation.aligned_end(" ".join(once), " ".join(once + ["na"] * 60)) == "cut"
+    for n in range(5, 9):
+        texts |= {" ".join(["la"] * n), " ".join(["la"] * n + ["lamp"]), " ".join(["la"] * n + ["l"])}
+    texts = sorted(texts)
+    best: dict[str, str] = {}
+    for x in texts:
+        shown = [a for y in texts if y != x and (a := truncation.aligned_end(x, y))]
+        if shown:
+            best[x] = min(shown)
+    assert {"cut", "whole"} <= set(best.values())
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "d long, t string")
+    got = {texts[r["d"]]: r["aligned"] for r in truncation.aligned_ends(df, "d", "t").collect()}
+    assert got == best
+
+
+def test_alignment_finds_the_one_copy_among_many_partners(spark):
+    """One near-copy whose digest is neither the smallest nor the largest of those that share its end and most of its buckets."""
+    rng = random.Random(8)
+    base = [f"oak{i}" for i in range(150)]
+    end = "and then they all went down to the"
+    like = lambda: " ".join(w if i % 30 != 10 else f"elm{rng.randrange(10**6)}" for i, w in enumerate(base))
+    others = [f"{like()} {end} market" for _ in range(60)]  # of a similarity a little below
+    short = " ".join(base) + f" {end}"
+    df = spark.createDataFrame([(1000, short), (500, f"{short} harbour"), *[(i if i < 30 else 5000 + i, t) for i, t in enumerate(others)]], "d long, t string")
+    assert all(truncation.aligned_end(short, t) is None for t in others) and truncation.aligned_end(short, f"{short} harbour") == "cut"
+    got = {r["d"]: r["aligned"] for r in truncation.aligned_ends(df, "d", "t").collect()}
+    assert got.get(1000) == "cut"
+
+
+def test_bloom_filter_passes_every_cell(spark):
+    """Also in several parts, and when it is over-full."""
+    cells = np.random.default_rng(3).integers(-(2**63), 2**63, 30_000)
+    df = spark.createDataFrame([(int(c),) for c in cells], "cell long")
+    others = np.random.default_rng(4).integers(-(2**63), 2**63, 30_000)
+    for part, most in ((2**23, 2**29), (2**14, 2**29), (2**12, 2**14)):
+        bits = truncation.bloom_filter(df, "cell", part, most)
+        assert len(truncation.passing(bits, cells, part)) == len(cells)
+        assert most < 2**29 or len(truncation.passing(bits, others, part)) < 300
+
+
 def test_placeholders_of_any_length():
     for n in (0, 20, 220, 3000):
         assert truncation.is_placeholder("null" + "-" * n) and truncation.is_placeholder("-" * n + " n/a ")
