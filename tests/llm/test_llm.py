@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosemill.llm import abuse, canonical, mixing, neardup, packing, pairs, ranks, tokens, truncation
+from prosemill.llm.queries import p5_tags
 
 HAVE_TOKENIZERS = os.path.exists(tokens.vocabulary_path())
 LONG = "word " * 60_000
@@ -313,6 +314,19 @@ def test_alignment_finds_the_one_copy_among_many_partners(spark):
     assert got.get(1000) == "cut"
 
 
+def test_p5_answers_cut_before_a_copy_that_goes_on(spark, tmp_path):
+    """An answer that closes like a finished one, shown to be cut by a copy whose end repeats words."""
+    rng = random.Random(2)
+    base = " ".join(f"The {w} of the town was near stone {rng.randrange(10**6)}." for w in "mill bridge tower house church school market garden harbour wall".split())
+    ask = "Write about the old houses of a village and who lived there."
+    rows = [(1, None, ask, f"{base} They walked over the bri."), (2, None, ask, f"{base} They walked over the bridge " + "so " * 60 + "far.")]
+    rows += [(10 + i, None, ask, f"The road {i} is long and the trees are old. We walked on it with {i} friends. It was a warm day in the year. Every house has a garden.") for i in range(20)]
+    df = spark.createDataFrame([(k, t, "Ask for a text on the town.", q, a) for k, t, q, a in rows], "pair_id long, topic string, input_prompt string, output_prompt string, best_essay string")
+    df.write.parquet(str(tmp_path / "prompt_pairs.parquet"))
+    got = {(r["pair_id"], r["field_name"]): r["defect"] for r in p5_tags(spark, str(tmp_path)).collect()}
+    assert got[1, "best_essay"] == "truncated" and got[2, "best_essay"] != "truncated"
+
+
 def test_bloom_filter_passes_every_cell(spark):
     """Also in several parts, and when it is over-full."""
     cells = np.random.default_rng(3).integers(-(2**63), 2**63, 30_000)
