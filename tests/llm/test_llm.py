@@ -305,10 +305,12 @@ def test_alignment_finds_the_one_copy_among_many_partners(spark):
     rng = random.Random(8)
     base = [f"oak{i}" for i in range(150)]
     end = "and then they all went down to the"
-    like = lambda: " ".join(w if i % 30 != 10 else f"elm{rng.randrange(10**6)}" for i, w in enumerate(base))
-    others = [f"{like()} {end} market" for _ in range(60)]  # of a similarity a little below
+    others = []  # of a similarity a little below, each for another reason
+    for _ in range(120):
+        spots = rng.sample(range(0, 150, 6), 5)
+        others.append(" ".join(f"elm{rng.randrange(10**6)}" if i in spots else w for i, w in enumerate(base)) + f" {end} market{len(others)}")
     short = " ".join(base) + f" {end}"
-    df = spark.createDataFrame([(1000, short), (500, f"{short} harbour"), *[(i if i < 30 else 5000 + i, t) for i, t in enumerate(others)]], "d long, t string")
+    df = spark.createDataFrame([(1000, short), (500, f"{short} harbour"), *[(i if i < 60 else 5000 + i, t) for i, t in enumerate(others)]], "d long, t string")
     assert all(truncation.aligned_end(short, t) is None for t in others) and truncation.aligned_end(short, f"{short} harbour") == "cut"
     got = {r["d"]: r["aligned"] for r in truncation.aligned_ends(df, "d", "t").collect()}
     assert got.get(1000) == "cut"
