@@ -82,8 +82,11 @@ class CRF:
 
     def decode(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Most likely labels (n, longest); meaningless behind a sequence's end."""
-        n, longest, _ = x.shape
-        emit = self.scores(x)
+        return self.best(self.scores(x), lengths)
+
+    def best(self, emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Most likely labels by the scores of each position."""
+        n, longest, _ = emit.shape
         best, back = self.s + emit[:, 0], np.zeros((n, longest, len(self.s)), dtype=np.int32)
         for j in range(1, longest):
             total = best[:, :, None] + self.t[None]

@@ -26,6 +26,7 @@ import gc
 import re
 from bisect import bisect_right
 from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +113,9 @@ SOUNDS_LIKE = [
 ]
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-# What ends a clause: marks before white space, or a line's end.
-END = re.compile(r"[.!?。！？]+[\"'”’»)\]*]*(?=\s|$)|\n")
+# What ends a clause: marks before white space, or a line's end; one set of characters begins all, which is found fast.
+END = re.compile(r"[.!?。！？\n](?:(?<=\n)|(?<!\n)[.!?。！？]*[\"'”’»)\]*]*(?=\s|$))")
+APART = {i: " " for i in range(1, 128) if not chr(i).isalnum() and chr(i) != "'"}  # 0 stands for a clause's end
 LETTER = re.compile(r"[^\W_]")
 
 
@@ -125,12 +127,22 @@ def language(ws: list[str]) -> str | None:
         other = [w for w in ws if w >= "\u0370"]
         if len(other) * 2 > len(ws):
             return f"script-{max(ord(w[0]) for w in other) >> 8}"
-    count = dict.fromkeys(FUNCTION_WORDS, 0)
-    for codes in filter(None, map(CODES_OF.get, ws)):
-        for code in codes:
-            count[code] += 1
-    top = sorted(count.items(), key=lambda x: -x[1])
-    return top[0][0] if top[0][1] and top[0][1] > top[1][1] else None
+    packed = sum(map(COUNTED.get, ws, repeat(0)))
+    if not packed:
+        return None
+    count = [packed >> 32 * k & 0xFFFFFFFF for k in range(len(FUNCTION_WORDS))]
+    top = max(count)
+    return list(FUNCTION_WORDS)[count.index(top)] if count.count(top) == 1 else None
+
+
+def clauses(low: str) -> list[list[str]]:
+    """The words of each clause that has some."""
+    if low.isascii() and "\0" not in low:
+        parts = END.sub("\0", low).translate(APART).split("\0")
+        each = (WORD.findall(p) if "'" in p else p.split() for p in parts) if "'" in low else map(str.split, parts)
+    else:
+        each = map(WORD.findall, END.split(low))
+    return [ws for ws in each if ws] or [[]]
 
 
 class Reading:
@@ -139,8 +151,8 @@ class Reading:
     def __init__(self, text: str | None) -> None:
         self.blank = not text or is_placeholder(text)
         self.low = (text or "").lower()
-        self.each = [ws for ws in map(WORD.findall, END.split(self.low)) if ws] or [[]]
-        self.words = [w for ws in self.each for w in ws]
+        self.each = clauses(self.low)
+        self.words = list(chain.from_iterable(self.each))
         self.set = set(self.words)
         self._raw = None
 
@@ -167,22 +179,58 @@ class Reading:
     @cached_property
     def cues(self) -> list[int]:
         """Number of cues of declining in each clause; 2 stands for more."""
-        if CUE_WORDS.isdisjoint(self.set):
+        stem = not CUE_WORDS.isdisjoint(self.set) and any(s in self.low for s in CUE_STEMS)
+        if not stem and (CUE_WORDS.isdisjoint(self.set) or not may_decline(self.set)):
             return [0] * len(self.each)
-        return [0 if CUE_WORDS.isdisjoint(w) else cues_of(self.raw(i)) for i, w in enumerate(self.each)]
+        return [0 if CUE_WORDS.isdisjoint(w) or not stem and not may_decline(set(w)) else cues_of(self.raw(i)) for i, w in enumerate(self.each)]
 
     @cached_property
     def offers(self) -> list[int]:
-        if OFFER_WORDS.isdisjoint(self.set):
+        if OFFER_WORDS.isdisjoint(self.set) or not may_offer(self.set):
             return [0] * len(self.each)
-        return [int(not OFFER_WORDS.isdisjoint(w) and bool(REDIRECT.search(self.raw(i)))) for i, w in enumerate(self.each)]
+        return [int(not OFFER_WORDS.isdisjoint(w) and may_offer(set(w)) and bool(REDIRECT.search(self.raw(i)))) for i, w in enumerate(self.each)]
 
     @cached_property
     def asked(self) -> set[str]:
         return set() if NAMED_WORDS.isdisjoint(self.set) else {NAMED[m] for m in ASKED.findall(self.low) if m in NAMED}
 
 
-CODES_OF = {w: [c for c, ws in FUNCTION_WORDS.items() if w in ws] for ws in FUNCTION_WORDS.values() for w in ws}
+# Every function word as one in 32 bits of each language that has it.
+COUNTED = {w: sum(1 << 32 * k for k, own in enumerate(FUNCTION_WORDS.values()) if w in own) for ws in FUNCTION_WORDS.values() for w in ws}
+
+# Words without which no cue is found, alone or with another one; stems may go on.
+CUE_STEMS = ["entschuldigung", "ablehnen"]
+CUE_ALONE = frozenset(
+    """comfortable sorry apologies unfortunately regrettably apologise apologize guidelines policy policies rules principles ai model assistant intelligence limits fulfil request talk
+    tut leider ich als lieber nicht désolé désolée je tant impossible malheureusement siento puedo podré voy posible redacto escribo debo prefiero como lamentablemente niego
+    dispiace posso preferisco modello sinto desculpe prefiro spijt ik taalmodel""".split()
+)
+CUE_PAIRS = [
+    (frozenset(a.split()), frozenset(b.split()))
+    for a, b in [
+        ("i", "t not cannot unable outside beyond something " + " ".join(x + y for x in ["", "must", "to", "will", "would", "respectfully", "shall", "politely"] for y in ("decline", "refuse", "stop", "pass"))),
+        ("piece text topic task subject", "limits falls declined cannot t not"), ("no", "text essay answer content way"), ("me", "right appropriate"),
+    ]
+]
+OFFER_ALONE = frozenset("ask instead frag hablemos parlons stattdessen cambio".split())
+OFFER_PAIRS = [(frozenset([a]), frozenset([b])) for a, b in [("if", "like"), ("turn", "could"), ("happy", "help"), ("place", "la")]]
+
+
+def may_have(ws: set[str], alone: frozenset[str], pairs: list[tuple[frozenset[str], frozenset[str]]]) -> bool:
+    """Whether ws, also split at apostrophes, have a word of alone or words of both sides of a pair."""
+    if not alone.isdisjoint(ws):
+        return True
+    ws = ws.union(*[re.split("['’]", w) for w in ws if "'" in w or "’" in w])
+    return not alone.isdisjoint(ws) or any(not a.isdisjoint(ws) and not b.isdisjoint(ws) for a, b in pairs)
+
+
+def may_decline(ws: set[str]) -> bool:
+    """Whether a clause of these words, unless it has a stem, can have a cue."""
+    return may_have(ws, CUE_ALONE, CUE_PAIRS)
+
+
+def may_offer(ws: set[str]) -> bool:
+    return may_have(ws, OFFER_ALONE, OFFER_PAIRS)
 
 
 def cues_of(clause: str) -> int:
@@ -211,20 +259,31 @@ def _bucket(x: float, cuts: list[float]) -> int:
 NO_QUESTION = Reading(None)
 
 
-def features(question: Reading, answer: Reading, broken: bool, declined: bool = False) -> tuple[list[list[int]], list[int]]:
-    """(features per clause, words per clause) of a response; declined: the question is itself a refusal."""
+# A clause's features as one number: a digit per kind, in the order of the features.
+KINDS = ["cues", "offer", "run", "echo", "lang", "place", "broken", "early", "whole", "size", "echo_all", "bias"]
+STEP = {k: int(np.prod([BLOCKS[x] for x in KINDS[:i]], dtype=np.int64)) for i, k in enumerate(KINDS)}
+OFFER, RUN, ECHO, LANG, PLACE, BROKEN, EARLY, WHOLE, SIZE, ECHO_ALL = (STEP[k] for k in KINDS[1:-1])
+
+
+def unfold(numbers: np.ndarray) -> np.ndarray:
+    """Feature numbers (n, kinds) of clauses."""
+    return np.stack([OFFSET[k] + numbers // STEP[k] % BLOCKS[k] for k in KINDS], axis=1).astype(np.int32)
+
+
+def folded(question: Reading, answer: Reading, broken: bool, declined: bool = False) -> tuple[list[int], list[int]]:
+    """(features per clause as a number, words per clause) of a response; declined: the question is itself a refusal."""
     q, a = (NO_QUESTION if question.blank else question), answer
     qset = q.set
     qlang = None if declined else q.lang
     asked = q.asked
     n = len(a.words)
     whole = a.lang
-    shared = [sum(map(qset.__contains__, w)) for w in a.each] if qset else [0] * len(a.each)
-    # three words in a row that the question has need three shared words, so shares of words bound shares of runs
+    shared = bytes(map(qset.__contains__, a.words)) if qset else bytes(n)
+    # three words in a row that the question has are three shared words in a row, so these bound the shares of runs
     all_echo = 0.0
     if n < 3:
         all_echo = float(0 < n == sum(shared))
-    elif sum(shared) - 2 >= 0.4 * (n - 2):
+    elif 5 * sum([len(x) - 2 for x in shared.split(b"\0") if len(x) > 2]) >= 2 * (n - 2):
         all_echo = sum(map(q.runs.__contains__, a.triples)) / (n - 2)
 
     def relation(lang: str | None, words: int) -> int:
@@ -237,25 +296,38 @@ def features(question: Reading, answer: Reading, broken: bool, declined: bool =
         return 1 if lang == qlang else 3 if words < 4 else 2
 
     alike = whole is not None and whole == qlang  # then no clause need be looked at alone
-    early = a.cues[0] > 0
-    same = [OFFSET["whole"] + min(2, relation(whole, n)), OFFSET["size"] + _bucket(n, [40, 90]), OFFSET["echo_all"] + _bucket(all_echo, [0.4, 0.75]), OFFSET["bias"]]
+    early = EARLY * (a.cues[0] > 0)
+    same = WHOLE * min(2, relation(whole, n)) + SIZE * _bucket(n, [40, 90]) + ECHO_ALL * _bucket(all_echo, [0.4, 0.75])
+    if alike:
+        same += LANG
     out, sizes = [], []
-    final = len(a.each) - 1
+    final, lo = len(a.each) - 1, 0
     for i, (w, cues, offer) in enumerate(zip(a.each, a.cues, a.offers)):
-        run = 0
-        if len(w) > 2 and shared[i] - 2 >= 0.25 * (len(w) - 2):
-            run = _bucket(sum(map(q.runs.__contains__, zip(w, w[1:], w[2:]))) / (len(w) - 2), [0.25, 0.6, 0.9])
-        out.append([
-            OFFSET["cues"] + cues, OFFSET["offer"] + offer, OFFSET["run"] + run,
-            OFFSET["echo"] + (_bucket(shared[i] / len(w), [0.3, 0.6, 0.8, 0.95]) if w else 0),
-            OFFSET["lang"] + (1 if alike else relation(language(w), len(w))),
-            OFFSET["place"] + (3 if not final else 0 if i == 0 else 2 if i == final else 1),
-            OFFSET["broken"] + int(i == final and broken), OFFSET["early"] + int(i > 0 and early), *same,
-        ])
-        sizes.append(max(1, len(w)))
+        m = len(w)
+        number = same + cues + OFFER * offer
+        if have := shared.count(1, lo, lo + m):
+            number += ECHO * _bucket(have / m, [0.3, 0.6, 0.8, 0.95])
+            if have > 2 and have - 2 >= 0.25 * (m - 2) and shared.find(b"\1\1\1", lo, lo + m) >= 0:
+                number += RUN * _bucket(sum(map(q.runs.__contains__, zip(w, w[1:], w[2:]))) / (m - 2), [0.25, 0.6, 0.9])
+        if not alike:
+            number += LANG * relation(language(w), m)
+        if i:
+            number += early + PLACE * (2 if i == final else 1)
+        elif not final:
+            number += PLACE * 3
+        out.append(number)
+        sizes.append(m or 1)
+        lo += m
+    if broken:
+        out[-1] += BROKEN
     return out, sizes
 
 
+def features(question: Reading, answer: Reading, broken: bool) -> list[list[int]]:
+    """Features per clause of a response."""
+    return unfold(np.array(folded(question, answer, broken)[0])).tolist()
+
+
 def _broken_by_rule(text: str) -> bool:
     from prosemill.llm.truncation import ending
 
@@ -289,7 +361,7 @@ def training_set(rows: list[tuple[str | None, str | None]]) -> tuple[list, list]
     seqs, labels = [], []
 
     def add(q: str | None, a: str, tag, broken: bool = False) -> None:
-        f, _ = features(Reading(q), Reading(a), broken)
+        f = features(Reading(q), Reading(a), broken)
         seqs.append(f)
         labels.append(tag(len(f)))
 
@@ -349,24 +421,28 @@ def train(rows: list[tuple[str | None, str | None]]) -> CRF:
     return CRF(FEATURES, len(LABELS)).fit(x, lengths, y, np.array(begins))
 
 
-def _tag(model: CRF, items: list[tuple[list[list[int]], list[int], bool]]) -> list[tuple[str | None, dict[str, float]]]:
-    """(defect or None, share of the response each tag covers) of (features, words per clause, broken)."""
+def _tag(model: CRF, items: list[tuple[list[int], list[int], bool]]) -> list[tuple[str | None, dict[str, float]]]:
+    """(defect or None, share of the response each tag covers) of (features per clause as a number, words per clause, broken)."""
     out: list = [None] * len(items)
     order = sorted(range(len(items)), key=lambda i: len(items[i][0]))
+    kinds, which = np.unique(np.array([x for i in order for x in items[i][0]], dtype=np.int64), return_inverse=True)
+    emit = model.scores(unfold(kinds)[None])[0][which.reshape(-1)]  # features are few, so most clauses look like others
+    words = np.array([x for i in order for x in items[i][1]], dtype=float)
+    end = 0
     for lo in range(0, len(order), 256):
         part = order[lo : lo + 256]
-        x, lengths = pad([items[i][0] for i in part], WIDTH)
-        x[x < 0] = FEATURES
-        tags = model.decode(x, lengths)
-        sizes = np.zeros(tags.shape)
-        for j, i in enumerate(part):
-            sizes[j, : len(items[i][1])] = items[i][1]
+        lengths = np.array([len(items[i][0]) for i in part])
+        begin, end = end, end + int(lengths.sum())
+        inside = np.arange(lengths.max())[None] < lengths[:, None]
+        scores, sizes = np.zeros((*inside.shape, len(LABELS))), np.zeros(inside.shape)
+        scores[inside], sizes[inside] = emit[begin:end], words[begin:end]
+        tags = model.best(scores, lengths)
         total = sizes.sum(axis=1)
         share = np.stack([(sizes * (tags == k)).sum(axis=1) / total for k in range(len(LABELS))], axis=1).tolist()
-        last = tags[np.arange(len(part)), lengths - 1]
+        last, first = (tags[np.arange(len(part)), lengths - 1] == 4).tolist(), tags[:, 0].tolist()
         for j, i in enumerate(part):
             cover = dict(zip(LABELS, share[j]))
-            out[i] = (defect_of(cover, int(tags[j, 0]), bool(last[j] == 4), items[i][2]), cover)
+            out[i] = (defect_of(cover, first[j], last[j], items[i][2]), cover)
     return out
 
 
@@ -374,7 +450,7 @@ def refusals(model: CRF, readings: list[Reading]) -> list[bool]:
     """Whether each text, read as a response of its own, is a refusal; without any cue of declining it isn't."""
     maybe = [i for i, r in enumerate(readings) if not r.blank and any(r.cues)]
     found = [False] * len(readings)
-    for i, (defect, _) in zip(maybe, _tag(model, [(*features(NO_QUESTION, readings[i], False), False) for i in maybe])):
+    for i, (defect, _) in zip(maybe, _tag(model, [(*folded(NO_QUESTION, readings[i], False), False) for i in maybe])):
         found[i] = defect == "refusal"
     return found
 
@@ -392,7 +468,7 @@ def tag_chain(model: CRF, chain: list[list[Reading]], broken: list[list[bool]])
     for asked, given, cut in zip(chain, chain[1:], broken):
         found: list = [("empty", {})] * len(given)
         at = [i for i, a in enumerate(given) if not a.blank]
-        for i, r in zip(at, _tag(model, [(*features(asked[i], given[i], bool(cut[i]), declined[i]), bool(cut[i])) for i in at])):
+        for i, r in zip(at, _tag(model, [(*folded(asked[i], given[i], bool(cut[i]), declined[i]), bool(cut[i])) for i in at])):
             found[i] = r
         declined = [r[0] == "refusal" for r in found]
         results.append(found)

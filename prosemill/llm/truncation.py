@@ -150,22 +150,25 @@ BEFORE_WORD = "\"'“(*["
 def closing_counts(texts: list[str]) -> Counter:
     """(core, ends) -> occurrences of full stops inside the texts; ends: what follows begins a sentence."""
     found: Counter = Counter()
+    cores: dict[str, str] = {}
     for t in texts:
-        before = stop = None  # the word before the last one, and the last word if a full stop closes it
-        for line in t.split("\n"):
-            fresh = True
-            for w in line.split():
-                if stop is not None:
-                    head = w.lstrip(BEFORE_WORD)[:1]
-                    if head:
-                        found[closing_key([before, stop] if before else [stop]), fresh or not (head.islower() or head.isdigit())] += 1
-                    before = stop
-                bare = w.rstrip(AFTER_STOP)
-                if bare[-1:] == "." and len(bare) > 1:
-                    stop = bare[:-1]
-                else:
-                    before, stop = w, None
-                fresh = False
+        ws, fresh = t.split(), set()  # all words, and the numbers of those that begin a line
+        if "\n" in t:
+            n = 0
+            for line in t.split("\n"):
+                fresh.add(n)
+                n += len(line.split())
+        for i in [i for i, w in enumerate(ws[:-1]) if "." in w]:
+            bare = ws[i].rstrip(AFTER_STOP)
+            if bare[-1:] == "." and len(bare) > 1:
+                head = ws[i + 1].lstrip(BEFORE_WORD)[:1]
+                if head:
+                    key = cores.get(bare)
+                    if key is None:
+                        key = cores[bare] = core(bare)
+                    if i and key in AMBIGUOUS:
+                        key = closing_key(ws[i - 1 : i + 1])
+                    found[key, i + 1 in fresh or not (head.islower() or head.isdigit())] += 1
     return found
 
 
@@ -214,30 +217,46 @@ def text_digest(text: Column) -> Column:
     return F.xxhash64(F.lit(29), text)
 
 
-SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))  # what str.split() splits at
-SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-
-
-def _hashes(text: Column) -> Column:
-    """A hash of each word; its last eight bits are the word's first character's."""
-    one = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-256)).bitwiseOR(F.ascii(w).cast("long").bitwiseAND(F.lit(255)))
-    return F.transform(F.split(F.btrim(text, F.lit(SPACES)), SPACE), one)
-
-
-def _word_hashes(text: str) -> Column:
-    return _hashes(F.col(text))
-
-
-def _last_words(text: str) -> Column:
-    """Hashes of the closing words, seven at least if the text has them."""
-    tail = F.substring_index(F.col(text), " ", -12)
-    return _hashes(F.when(tail.rlike(r"(\S+\s+){6}\S"), tail).otherwise(F.col(text)))
-
-
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(all word hashes, words per row)."""
-    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes
+SPACES = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]  # what str.split() splits at
+IS_SPACE = np.isin(np.arange(256), [c for c in SPACES if c < 128])
+WIDE_SPACES = {n: np.array([int.from_bytes(e, "big") for c in SPACES if len(e := chr(c).encode()) == n]) for n in (2, 3)}
+BYTES = np.random.default_rng(29).integers(1, 2**64, 256, dtype=np.uint64)  # a value of each byte
+
+
+def word_hashes(text: pa.Array, part: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, words per text) of UTF-8 texts; a hash's last eight bits are those of the word's first byte."""
+    found = [_word_hashes(text.slice(lo, part)) for lo in range(0, len(text), part)]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
+def _word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    text = text.fill_null("").cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    cuts = np.frombuffer(offsets, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+    if cuts[0] == cuts[-1]:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(text), dtype=np.int64)
+    raw, cuts = np.frombuffer(data, dtype=np.uint8)[cuts[0] : cuts[-1]], cuts - cuts[0]
+    gap = IS_SPACE[raw]
+    for n, lead in ((2, raw == 0xC2), (3, (raw >= 0xE1) & (raw <= 0xE3))):
+        at = np.flatnonzero(lead)
+        if len(at):
+            at = at[np.isin(sum(raw[at + k].astype(np.int64) << 8 * (n - 1 - k) for k in range(n)), WIDE_SPACES[n])]
+            gap[at[:, None] + np.arange(n)] = True
+    fresh = np.zeros(len(raw) + 1, dtype=bool)  # behind a space or at a text's begin
+    fresh[cuts] = True
+    fresh[1:] |= gap
+    begin = np.flatnonzero(fresh[:-1] & ~gap)
+    if not len(begin):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(text), dtype=np.int64)
+    at = np.arange(begin[0], len(raw)) - np.repeat(begin, np.diff(begin, append=len(raw)))
+    power = np.cumprod(np.full(int(at.max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    value = BYTES[raw[begin[0] :]] * power[at]
+    value[gap[begin[0] :]] = 0
+    h = np.add.reduceat(value, begin - begin[0])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return (h & ~np.uint64(255)) | raw[begin], np.diff(np.searchsorted(begin, cuts))
 
 
 SMALL = 200_000  # rows of a few numbers that may be broadcast
@@ -333,7 +352,7 @@ FORM = "d long, n int, prefix array<long>, short array<long>, long array<struct<
 
 
 def next_cells(h: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Cells of shingles and the first character of the word behind each, which a cut word still has."""
+    """Cells of shingles and the first byte of the word behind each, which a cut word still has."""
     return (h ^ ((words & np.uint64(255)) + np.uint64(1)) * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64)
 
 
@@ -342,18 +361,18 @@ def ends_met(source: DataFrame) -> DataFrame:
 
     def ends(batches):
         for b in batches:
-            words, sizes = _flat(b.column("words"))
+            words, sizes = word_hashes(b.column("text"))
             row = np.flatnonzero(sizes > SHINGLE + 1)
             six = words[np.cumsum(sizes)[row, None] + np.arange(-SHINGLE - 1, 0)]
             _, h = shingle_hashes(six[:, :SHINGLE].reshape(-1), np.full(len(row), SHINGLE))
             yield pa.RecordBatch.from_pydict({"cell": next_cells(h, six[:, SHINGLE]), "d": b.column("d").to_numpy(zero_copy_only=False)[row], "last": six[:, SHINGLE].view(np.int64)})
 
-    own = durable(source.select("d", _last_words("text").alias("words")).mapInArrow(ends, "cell long, d long, last long"))
+    own = durable(source.select("d", "text").mapInArrow(ends, "cell long, d long, last long"))
     shared = source.sparkSession.sparkContext.broadcast(bloom_filter(own, "cell"))
 
     def inner(batches):
         for b in batches:
-            words, sizes = _flat(b.column("words"))
+            words, sizes = word_hashes(b.column("text"))
             row, h = shingle_hashes(words, sizes)
             count = np.bincount(row, minlength=len(sizes))
             begin = np.cumsum(count) - count
@@ -372,7 +391,7 @@ def ends_met(source: DataFrame) -> DataFrame:
             hit, left = hit[last], left[last]
             yield pa.RecordBatch.from_pydict({"cell": cell[left], "d": b.column("d").to_numpy(zero_copy_only=False)[row[hit]], "spot": at[hit] + SHINGLE})
 
-    passed = source.select("d", _word_hashes("text").alias("words")).mapInArrow(inner, "cell long, d long, spot long")
+    passed = source.select("d", "text").mapInArrow(inner, "cell long, d long, spot long")
     cells = own.groupBy("cell").agg(F.min("last").alias("lo"), F.max("last").alias("hi"))
     hits = durable(passed.join(cells.hint("merge"), "cell", "left_semi"))
     live = cells.filter("lo <> hi").select("cell").unionByName(hits.select("cell")).distinct()
@@ -385,7 +404,7 @@ def forms_of(few: DataFrame) -> DataFrame:
 
     def forms(batches):
         for b in batches:
-            words, sizes = _flat(b.column("words"))
+            words, sizes = word_hashes(b.column("text"))
             row, h = shingle_hashes(words, sizes)
             cuts = np.searchsorted(row, np.arange(len(sizes) + 1))
             out: dict[str, list] = {"n": [], "prefix": [], "short": [], "long": []}
@@ -400,7 +419,7 @@ def forms_of(few: DataFrame) -> DataFrame:
                 ["d", "n", "prefix", "short", "long"],
             )
 
-    return few.select("d", "text", _word_hashes("text").alias("words"), "spots").mapInArrow(forms, FORM)
+    return few.select("d", "text", "spots").mapInArrow(forms, FORM)
 
 
 LONG_TYPE = pa.list_(pa.struct([("key", pa.int64()), ("cut", pa.bool_())]))

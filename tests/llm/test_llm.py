@@ -329,6 +329,24 @@ def test_p5_answers_cut_before_a_copy_that_goes_on(spark, tmp_path):
     assert got[1, "best_essay"] == "truncated" and got[2, "best_essay"] != "truncated"
 
 
+def test_word_hashes_are_those_of_split_words():
+    """In the middle of a column, with nulls, blanks and every kind of space: one hash a word, equal for equal words only."""
+    rng = random.Random(4)
+    pieces = ["mill", "mil", "Mill", "ü", "über", "слово", "水", "é.", "x" * 300, "a", *map(chr, truncation.SPACES)]
+    texts = [None, "", " ", *["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(1500)], None]
+    words, sizes = truncation.word_hashes(pa.array(["left out", *texts])[1:])
+    split = [(t or "").split() for t in texts]
+    assert sizes.tolist() == [len(ws) for ws in split]
+    found = set(zip((w for ws in split for w in ws), words.tolist()))
+    assert len(found) == len({w for w, _ in found}) == len({h for _, h in found})
+    assert all(h & 255 == w.encode()[0] for w, h in found)
+
+
+def test_closing_counts_by_definition():
+    got = truncation.closing_counts(["It took approx. 5 days.\nThey met Mr. Low (at no. 7). \"Why?\" etc. and so on.", "No. It ended. \nso it did"])
+    assert got == {("approx", False): 1, ("days", True): 1, ("mr", True): 1, ("at no", False): 1, ("<number>", True): 1, ("etc", False): 1, ("no", True): 1, ("ended", True): 1}
+
+
 def test_bloom_filter_passes_every_cell(spark):
     """Also in several parts, and when it is over-full."""
     cells = np.random.default_rng(3).integers(-(2**63), 2**63, 30_000)
@@ -439,6 +457,45 @@ def test_question_that_declines_whatever_its_length():
     assert pairs.tag_batch(model(), [(QUESTION, german, False)])[0][0] == "language"
 
 
+def test_plain_prose_needs_no_search_for_cues(monkeypatch):
+    """Single words of cues aren't enough to look a clause through."""
+    text = "The topic of my essay is a mill. I like its text and the answer. No bridge is as plain. A place to turn to, if it rains! Happy is the task's end."
+    searched = []
+    monkeypatch.setattr(pairs.Reading, "raw", lambda self, i: searched.append(i) or "")
+    reading = pairs.Reading(text)
+    assert not any(reading.cues) and not any(reading.offers) and not searched
+
+
+@pytest.mark.parametrize(
+    ("text", "cues", "offers"),
+    [
+        ("I'm not able to help. This topic is off limits'x. The topic can't be one.", [1, 2, 1], [0, 0, 0]), ("I must decline. I mustdecline. My answer is no", [1, 1, 1], [0, 0, 0]),
+        ("I don’t write it. Ich kann das nicht. Mühle und i entschuldigungen!", [1, 1, 1], [0, 0, 0]), ("There is no way to do that. Let's talk about anything else.", [1, 1], [0, 0]),
+        ("If you like, I can go. You could turn to it. It stood a'place à la place. Que'instead'", [0, 0, 0, 0], [1, 1, 1, 0]),
+        ("A mill!\nno essay will be.\"\n\n'Tis 3.5 m… I cannot answer", [0, 1, 1], [0, 0, 0]),
+    ],
+)
+def test_cues_of_clauses(text, cues, offers):
+    reading = pairs.Reading(text)
+    assert (reading.cues, reading.offers) == (cues, offers)
+
+
+def test_words_of_clauses_by_definition():
+    """Plain and other texts, read by different ways, and a clause's features as one number."""
+    rng = random.Random(3)
+    pieces = ["mill", "don't", "'tis'", "3.5", ".", "?!\"", ")", " ", " ", " ", "\n", "_", "I'm", "the", "…"]
+    last = pairs.Reading(None)
+    for i in range(2000):
+        text = "".join(rng.choice([*pieces, *(["é", "’", "。"] if i % 2 else [])]) for _ in range(rng.randrange(1, 30)))
+        want = [ws for ws in map(pairs.WORD.findall, re.split(r"[.!?。！？]+[\"'”’»)\]*]*(?=\s|$)|\n", text.lower())) if ws] or [[]]
+        now = pairs.Reading(text)
+        assert now.each == want and len(now.each) == len(now.cues)
+        f = pairs.features(last, now, bool(i % 3))
+        assert len(f) == len(want) and all(len(x) == len(set(x)) == pairs.WIDTH and max(x) < pairs.FEATURES for x in f)
+        assert (pairs.OFFSET["broken"] + 1 in f[-1]) == bool(i % 3)
+        last = now
+
+
 def test_clauses_far_into_a_text_are_learned():
     f = [[0, 1]] * 60
     x, lengths = pairs.pad([f[:24], f[24:48], f[48:]], pairs.WIDTH)
